@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, sharding, toxicity
+from . import chatformat, decontam, fixity, licenses, mixing, neardup, pqdup, sharding, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op1_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,15 +33,44 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(docs).selectExpr("doc_id", "coalesce(octet_length(text), 0) AS bytes", "shard")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated(_table(spark, sf_dir, "documents"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of the pages with known faults, by MD5 of the id: payloads cut short, others altered, records lost."""
+    fault = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    html = F.when(fault == "00", F.expr("substring(html, 1, length(html) - 1)")).when(fault == "01", F.concat("html", F.lit("."))).otherwise(F.col("html"))
+    return pages.where(fault != "02").withColumn("html", html)
+
+
+def op7_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return fixity.audit(fixity.Tree(pages), fixity.Tree(damaged(pages)))
+
+
+def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.formatted(_table(spark, sf_dir, "conversations"))
+
+
+def op9_similar_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqdup.similar(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_toxic_documents": op1_toxic_documents,
+    "op2_license_notices": op2_license_notices,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_mixed_sources": op4_mixed_sources,
     "op5_shards": op5_shards,
+    "op6_repeated_passages": op6_repeated_passages,
+    "op7_fixity_audit": op7_fixity_audit,
+    "op8_chat_round_trip": op8_chat_round_trip,
+    "op9_similar_embeddings": op9_similar_embeddings,
     "op10_benchmark_leaks": op10_benchmark_leaks,
 }
 
@@ -67,6 +101,32 @@ WITH RECURSIVE n AS (
 SELECT doc_id, source, epoch::INT AS epoch, (start * {mixing.BLOCKS} // quota)::INT AS block FROM s WHERE start < quota
 """
 
-#: SQL can't express the random walks, consistent samples and alignments of the others, nor, short of a
-#: recursion over every group and capacity, the greedy checks of the sharding.
-ORACLES = {"op4_mixed_sources": _MIX}
+_FIXITY = f"""
+WITH p AS (
+  SELECT page_id, substr(md5(page_id::VARCHAR), 1, 2) AS fault, url, html FROM pages WHERE page_id IS NOT NULL
+), r AS (
+  SELECT page_id, fault, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head, html,
+    CASE fault WHEN '00' THEN substr(html, 1, length(html) - 1) WHEN '01' THEN html || '.' ELSE html END AS html_b FROM p
+), w AS (
+  SELECT page_id, fault, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec,
+    head || strlen(html_b) || chr(13) || chr(10) || chr(13) || chr(10) || html_b || chr(13) || chr(10) || chr(13) || chr(10) AS rec_b FROM r
+), o AS (
+  SELECT *, strlen(rec) AS length, (sum(strlen(rec)) OVER (PARTITION BY page_id // {fixity.SEGMENT} ORDER BY page_id) - strlen(rec))::BIGINT AS "offset" FROM w
+)
+SELECT page_id, CASE WHEN fault = '02' THEN 'missing' ELSE 'changed' END AS status, "offset", length, sha256(rec) AS hash, CASE WHEN fault <> '02' THEN sha256(rec_b) END AS replica_hash
+FROM o WHERE fault IN ('00', '01', '02')
+"""
+
+_CHAT = r"""
+WITH m AS (
+  SELECT conv_id, turn, role, text, coalesce(regexp_matches(role || '|' || text, '<\\*\|(turn|end|null|n|r)\|>'), FALSE) AS marked FROM conversations
+)
+SELECT conv_id, count(*)::INT AS turns, count_if(marked)::INT AS escaped_turns,
+  string_agg('<|turn|>' || coalesce(role, '<|null|>') || chr(10) || coalesce(CASE WHEN marked THEN regexp_replace(text, '<(\\*)\|(turn|end|null|n|r)\|>', '<\1\\|\2|>', 'g') ELSE text END, '<|null|>') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM m GROUP BY conv_id
+"""
+
+#: SQL can't express the random walks, patience alignments, consistent samples, suffix arrays, product codes and
+#: edit alignments of the others, nor, short of a recursion over every group and capacity, the greedy checks of
+#: the sharding; tests hold those against brute force.
+ORACLES = {"op4_mixed_sources": _MIX, "op7_fixity_audit": _FIXITY, "op8_chat_round_trip": _CHAT}
