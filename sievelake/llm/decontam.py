@@ -93,7 +93,7 @@ def _rare(docs: DataFrame, items, text: str, seed: int, rare: float) -> np.ndarr
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
 
-    got = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     keys = items.value.keys
     total = np.zeros(len(keys) + 1, np.int64)
     total[got.i.to_numpy()] = got.n.to_numpy()

@@ -77,7 +77,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["b", "n"])
 
-    counts = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(BUCKETS + 1, np.int64)  # a fixed number of values, whatever the input
     out[counts.b.to_numpy()] = counts.n.to_numpy()
     return out[:-1], int(out[-1])

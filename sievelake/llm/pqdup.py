@@ -90,7 +90,7 @@ def _vectors(column, dim: int) -> np.ndarray:
 
 
 def train(rows: DataFrame, n: int, dim: int, sample: int, list_rows: int) -> Index:
-    some = rows.orderBy(F.xxhash64("k", "v"), "k").limit(sample).toPandas()  # a bounded sample
+    some = rows.orderBy(F.xxhash64("k", "v"), "k").limit(sample).toArrow().to_pandas()  # a bounded sample
     x = _vectors(pa.array(some.v.tolist()), dim)
     coarse = kmeans(x, max(1, min(MOST_LISTS, -(-n // list_rows))))
     parts = next(p for p in (PARTS, 4, 2, 1) if dim % p == 0)

@@ -51,7 +51,7 @@ class _Sizes:
 
     def _block(self, i: int):
         r = self.blocks[i]
-        got = self.table.where((F.col("p") == r.p) & (F.col("b") == r.b)).select("k", "n").orderBy(F.col("k").asc_nulls_first()).toPandas()
+        got = self.table.where((F.col("p") == r.p) & (F.col("b") == r.b)).select("k", "n").orderBy(F.col("k").asc_nulls_first()).toArrow().to_pandas()
         keys = got.k.astype(object).where(got.k.notna(), None).tolist()
         return keys, np.concatenate([[0], np.cumsum(got.n.to_numpy(np.int64))])
 

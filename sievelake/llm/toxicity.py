@@ -20,6 +20,7 @@ without toxic or without clean labels nothing is toxic; identical texts count on
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,8 +159,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return none
     odds = F.log((F.col("x") + 0.5) / (F.lit(sums.x) - F.col("x") + 0.5)) - F.log((F.col("c") + 0.5) / (F.lit(sums.c) - F.col("c") + 0.5))
     z = known.where("term <> 0").withColumn("z", odds / F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("c") + 0.5)))
-    toxic = z.where((F.col("x") >= LEAST_DOCS) & (F.col("z") >= CANDIDATE_Z)).orderBy(F.desc("z"), "term").limit(vocabulary - NEUTRAL).toPandas()
-    neutral = z.where("abs(z) < 1").orderBy(F.desc("c"), "term").limit(NEUTRAL).toPandas()
+    # the share's lower bound is at most 1 / (1 + z^2 / n) where all n rows are toxic: rarer terms can have no weight
+    least = max(LEAST_DOCS, math.ceil(CONFIDENCE**2 * LEAST_SHARE / (1 - LEAST_SHARE)))
+    toxic = z.where((F.col("x") >= least) & (F.col("x") >= LEAST_SHARE * (F.col("x") + F.col("c"))) & (F.col("z") >= CANDIDATE_Z)).orderBy(F.desc("z"), "term").limit(vocabulary - NEUTRAL).toArrow().to_pandas()
+    neutral = z.where("abs(z) < 1").orderBy(F.desc("c"), "term").limit(NEUTRAL).toArrow().to_pandas()
     if not (toxic.z >= SEED_Z).any():
         return none
     terms = np.concatenate([toxic.term.to_numpy(), neutral.term.to_numpy()]).astype(np.int64).view(np.uint64)
@@ -181,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         codes, n = _merged(keep) if keep else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, windows))], ["code", "n"])
 
-    pairs = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    pairs = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_pandas()
     # at most the vocabulary's square, which doesn't depend on the input
     code, n = pairs.code.to_numpy(), pairs.n.to_numpy()
     windows, code, n = int(n[code < 0].sum()), code[code >= 0], n[code >= 0]
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = np.where(plus, 1, np.clip(2 * found - 1, 0, 1)) * np.where(bound >= LEAST_SHARE, bound, 0)
     keep = weights > 0
     lexicon = Lexicon(terms[keep], weights[keep], np.inf)
-    got = rows.mapInArrow(_scored(spark.sparkContext.broadcast(lexicon), ["y"]), "y long, s double").toPandas()
+    got = rows.mapInArrow(_scored(spark.sparkContext.broadcast(lexicon), ["y"]), "y long, s double").toArrow().to_pandas()
     C.discard(rows, known)
     return Lexicon(terms[keep], weights[keep], best_cut(got.s.to_numpy(), got.y.to_numpy() > 0))
 
