@@ -7,6 +7,8 @@ the whole text by a batched UDF, and only if a contract has any.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,37 +182,44 @@ def _lines(findings: Column) -> Column:
     return F.transform(findings, lambda f: f["line"])
 
 
-def analysed(parsed: DataFrame, contract: Contract) -> DataFrame:
-    """Parsed sources with their active profiles and, in each function, its decision and governing framework."""
-    rows = parsed.withColumn("active", scope.active_profiles(contract))
-    active = F.col("active")
-    return rows.withColumn("functions", F.transform("functions", lambda f: f.withField("decision", scope.decision(contract, active, f)).withField("governed_by", scope.governing(active, f)).withField("no_auto_fix", scope.no_auto_fix(active, f))))
-
-
-def audited(parsed: DataFrame, contract: Contract) -> DataFrame:
-    """Analysed rows with all their findings, sorted by line, code and rule, in one array."""
-    rows = analysed(parsed, contract)
+@lru_cache(32)
+def _columns(contract: Contract, application: str) -> tuple[Column, Column, dict[str, Column]]:
+    """The active profiles, the classified functions and each rule; building them takes longer than planning, so they are kept."""
     active, secrets, infra = F.col("active"), contract.secrets, contract.infrastructure
-    python = F.col("kind") == "python"
-    rows = rows.withColumn("f1", missing_parameters(contract))
+    functions = F.transform("functions", lambda f: f.withField("decision", scope.decision(contract, active, f)).withField("governed_by", scope.governing(active, f)).withField("no_auto_fix", scope.no_auto_fix(active, f)))
+    text = (F.col("kind") == "python") & F.col("content").isNotNull()
+    out = {"f1": missing_parameters(contract)} | {f"f{n}": _none() for n in range(2, 6)} | {"f6": _yaml(contract)}
     if secrets.enabled:
         flagged = F.filter("bindings", lambda b: is_secret(contract, b, active))
-        rows = rows.withColumn("f2", _bound(secrets, KV002, "error", flagged, lambda p: p.secret_keys, lambda b: _text("`", b["key"], "` is given a hardcoded literal"), lambda b: _text("value ", redact(b["raw_value"]), "; take it from the environment or a secret store"), "hardcoded_secret"))
+        out["f2"] = _bound(secrets, KV002, "error", flagged, lambda p: p.secret_keys, lambda b: _text("`", b["key"], "` is given a hardcoded literal"), lambda b: _text("value ", redact(b["raw_value"]), "; take it from the environment or a secret store"), "hardcoded_secret")
         values = _by_value(secrets, KV002, "error", _lines(F.col("f2")), lambda p: p.secret_values, lambda h: _text("a credential is written here (", h["detector"], ")"), lambda h: _text("found ", redact(h["found"])), "hardcoded_secret")
-        rows = rows.withColumn("f3", F.when(python & F.col("content").isNotNull(), values).otherwise(_none()))
-    else:
-        rows = rows.withColumn("f2", _none()).withColumn("f3", _none())
+        out["f3"] = F.when(text, values).otherwise(_none())
     if infra.enabled:
         flagged = F.filter("bindings", lambda b: is_infra(contract, b, active))
-        rows = rows.withColumn("f4", _bound(infra, KV003, infra.severity, flagged, lambda p: p.infra_keys, lambda b: _text("`", b["key"], "` is pinned to `", truncate(b["raw_value"]), "`"), lambda b: F.lit("derive it from target_environment"), "hardcoded_infrastructure"))
+        out["f4"] = _bound(infra, KV003, infra.severity, flagged, lambda p: p.infra_keys, lambda b: _text("`", b["key"], "` is pinned to `", truncate(b["raw_value"]), "`"), lambda b: F.lit("derive it from target_environment"), "hardcoded_infrastructure")
         taken = _lines(F.concat("f1", "f2", "f3", "f4"))
         values = _by_value(infra, KV003, infra.severity, taken, lambda p: p.infra_values, lambda h: _text("an identifier of one environment (", h["detector"], ")"), lambda h: _text("`", truncate(h["found"]), "` should vary by environment"), "hardcoded_infrastructure")
-        rows = rows.withColumn("f5", F.when(python & F.col("content").isNotNull(), values).otherwise(_none()))
-    else:
-        rows = rows.withColumn("f4", _none()).withColumn("f5", _none())
-    rows = rows.withColumn("f6", _yaml(contract))
-    every = F.transform(F.concat("f1", "f2", "f3", "f4", "f5", "f6"), lambda f, i: f.withField("ord", i))
-    return rows.withColumn("findings", F.sort_array(every)).drop("f1", "f2", "f3", "f4", "f5", "f6")
+        out["f5"] = F.when(text, values).otherwise(_none())
+    every = F.transform(F.concat(*sorted(out)), lambda f, i: f.withField("ord", i))
+    return scope.active_profiles(contract), functions, out | {"findings": F.sort_array(every)}
+
+
+def _kept(rows: DataFrame, contract: Contract):
+    return _columns(contract, rows.sparkSession.sparkContext.applicationId)
+
+
+def analysed(parsed: DataFrame, contract: Contract) -> DataFrame:
+    """Parsed sources with their active profiles and, in each function, its decision and governing framework."""
+    active, functions, _ = _kept(parsed, contract)
+    return parsed.withColumn("active", active).withColumn("functions", functions)
+
+
+def audited(parsed: DataFrame, contract: Contract) -> DataFrame:
+    """Analysed rows with all their findings, sorted by line, code and rule, in one array."""
+    rows, found = analysed(parsed, contract), _kept(parsed, contract)[2]
+    for names in (("f1", "f2", "f4", "f6"), ("f3",), ("f5",), ("findings",)):
+        rows = rows.withColumns({n: found[n] for n in names})
+    return rows.drop("f1", "f2", "f3", "f4", "f5", "f6")
 
 
 def templated(value: Column) -> Column:
@@ -237,7 +246,8 @@ def _yaml(contract: Contract) -> Column:
 
 def findings(rows: DataFrame) -> DataFrame:
     """One row for each finding of audited rows."""
-    flat = rows.select("path", F.explode("findings").alias("f")).select("path", "f.*")
+    # an outer explode: for an inner one the optimizer tests the array first, by computing all rules once more
+    flat = rows.select("path", F.explode_outer("findings").alias("f")).where("f is not null").select("path", "f.*")
     return flat.select(fingerprint(F.col("path"), F.col("code"), F.col("symbol"), F.col("subject")).alias("fingerprint"), "path", "line", "code", "severity", "symbol", "subject", "message", "detail", "framework", "kind", "function", "parameter", "detector", "key", "ord")
 
 

@@ -64,7 +64,7 @@ class Audit:
 
     def decisions(self) -> DataFrame:
         """(path, function, line, decision, governed_by) of each function."""
-        return self.rows.select("path", F.explode("functions").alias("f")).select("path", F.col("f.name").alias("function"), F.col("f.line").alias("line"), F.col("f.decision").alias("decision"), F.col("f.governed_by").alias("governed_by"))
+        return self.rows.select("path", F.explode_outer("functions").alias("f")).where("f is not null").select("path", F.col("f.name").alias("function"), F.col("f.line").alias("line"), F.col("f.decision").alias("decision"), F.col("f.governed_by").alias("governed_by"))
 
     def distinct_issues(self) -> DataFrame:
         """Findings counted by their identity."""
