@@ -49,7 +49,10 @@ def resolve_targets(paths: list[str], contract: Contract) -> list[str]:
             out.append(p)
         else:
             raise ContractError(f"{p}: there is no such file or folder")
-    return list({os.path.realpath(p): p for p in reversed(out)}.values())[::-1]
+    once: dict[str, str] = {}
+    for p in out:
+        once.setdefault(os.path.realpath(p), p)
+    return list(once.values())
 
 
 def scan_root(paths: list[str]) -> str:
