@@ -12,8 +12,9 @@ Documents come in ``batches``. Each new batch gets its array, which is scanned a
 for fingerprints in both; then it becomes level 0, and two arrays of one level merge into one of the next, so
 each suffix is rewritten once a level. A passage is reported in all documents that hold it.
 
-Every passage of LENGTH words or more that two documents share is found; ones of PREFIX to LENGTH - 1 words
-may be. A span's ends lie at most SPAN - 1 words inside the passage's. Nulls and edge cases: null, empty and
+A suffix match is a candidate. Around candidates alone, the runs of LENGTH words that hold a matched suffix's first
+words are compared between documents, so that exactly the passages of LENGTH words or more that two documents share
+are reported, to the word. Nulls and edge cases: null, empty and
 shorter texts have no suffixes; rows with one doc_id (null too) are one document, and a passage that repeats
 only inside it isn't reported; repeated rows' spans are given once; texts are read whole.
 """
@@ -58,10 +59,7 @@ def anchors(t: C.Tokens, span: int = SPAN, prefix: int = PREFIX) -> tuple[np.nda
     pad = np.zeros(span - 1, np.uint64)
     top = _slide(np.concatenate([pad, least, pad]), span, np.maximum)
     at = np.flatnonzero((top == g) & inside & (t.place + prefix <= np.repeat(t.count, t.count)))
-    up, down = C._tables(len(t.hash))
-    total = np.zeros(len(t.hash) + 1, np.uint64)
-    np.cumsum(t.hash * up[: len(t.hash)], out=total[1:])
-    return at, C.mix((total[at + prefix] - total[at]) * down[at])
+    return at, _prints(t, at, prefix)
 
 
 class _Array:
@@ -91,6 +89,41 @@ def suffixes(docs: DataFrame, key: str, text: str, span: int, prefix: int) -> Da
     return docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).where("t is not null").mapInArrow(find, f"f long, d {kind}, p int")
 
 
+def _prints(t: C.Tokens, at: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the runs of ``length`` words at some places of the tokens."""
+    up, down = C._tables(len(t.hash))
+    total = np.zeros(len(t.hash) + 1, np.uint64)
+    np.cumsum(t.hash * up[: len(t.hash)], out=total[1:])
+    return C.mix((total[at + length] - total[at]) * down[at])
+
+
+def _windows(docs: DataFrame, spots: DataFrame, key: str, text: str, length: int, span: int) -> DataFrame:
+    """(f, d, p): fingerprint, document and place of each run of ``length`` words that holds a matched suffix's first words."""
+    rows = docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).where("t is not null")
+    n = spots.agg(F.sum(F.size("ps"))).first()[0] or 0
+    # places are broadcast while they are small; beyond that the documents that have some are shuffled to them
+    held = F.broadcast(spots) if n * 8 <= C.BROADCAST_BYTES else spots
+    rows = rows.join(held, F.col("d").eqNullSafe(F.col("e"))).select("d", "t", "ps")
+
+    def find(batches):
+        for batch in batches:
+            for part in C.slices(batch, "t", 1 << 20):
+                t = C.Tokens(part.column("t"))
+                lists = part.column("ps")
+                at = t.first[np.repeat(np.arange(t.rows), lists.value_lengths().to_numpy(zero_copy_only=False))] + lists.flatten().to_numpy()
+                mark = np.zeros(len(t.hash) + 1, np.int64)
+                owner = np.repeat(np.arange(t.rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                ok = at < t.first[owner + 1]  # another row's places, where rows share an id
+                at, owner = at[ok], owner[ok]
+                np.add.at(mark, np.maximum(at - span + 1, t.first[owner]), 1)
+                np.add.at(mark, at + 1, -1)
+                at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                at = at[t.place[at] + length <= t.count[t.row[at]]]
+                yield pa.RecordBatch.from_arrays([pa.array(_prints(t, at, length).view(np.int64)), part.column("d").take(pa.array(t.row[at])), pa.array(t.place[at].astype(np.int32))], ["f", "d", "p"])
+
+    return rows.mapInArrow(find, f"f long, d {docs.schema[key].dataType.simpleString()}, p int")
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, span: int = SPAN, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """(doc_id, start_word, end_word): each span of a document, end exclusive, that another document repeats."""
     spark, prefix = docs.sparkSession, length - span + 1
@@ -120,11 +153,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     for level in levels.values():
         some = level.table.join(found, "f", "left_semi").select("d", "p")
         spots = some if spots is None else spots.union(some)
-    spots = C.save(spots.distinct())
+    spots = C.save(spots.groupBy(F.col("d").alias("e")).agg(F.collect_set("p").alias("ps")))
     for level in levels.values():
         level.drop()
+    windows = C.save(_windows(docs, spots, key, text, length, span))
+    both = windows.groupBy("f").agg(F.min(F.xxhash64("d")).alias("lo"), F.max(F.xxhash64("d")).alias("hi")).where("lo <> hi").select("f")
+    exact = windows.join(both, "f", "left_semi").select("d", "p").distinct()
     C.discard(*hits)
     w = Window.partitionBy("d").orderBy("p")
-    rows = spots.withColumn("new", F.coalesce((F.col("p") > F.lag("p").over(w) + prefix).cast("int"), F.lit(1)))
+    rows = exact.withColumn("new", F.coalesce((F.col("p") > F.lag("p").over(w) + length).cast("int"), F.lit(1)))
     rows = rows.withColumn("i", F.sum("new").over(w))
-    return rows.groupBy("d", "i").agg(F.min("p").alias("start_word"), (F.max("p") + prefix).alias("end_word")).select(F.col("d").alias(key), "start_word", "end_word")
+    return rows.groupBy("d", "i").agg(F.min("p").alias("start_word"), (F.max("p") + length).alias("end_word")).select(F.col("d").alias(key), "start_word", "end_word")
