@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,14 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
