@@ -7,6 +7,7 @@ the whole text by a batched UDF, and only if a contract has any.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -106,11 +107,15 @@ def _patterns(section, of_profile) -> list[tuple[str | None, str, str]]:
     return [(None, p.name, p.regex) for p in section.value_patterns] + [(p.name, n, r) for p in PROFILES for n, r in of_profile(p)]
 
 
+def java(regex: str) -> str:
+    """A pattern for Java, its classes and boundaries those of Unicode; without any, the plain pattern is faster."""
+    return f"(?U){regex}" if re.search(r"\\[bBdDpPsSwW]", regex) else regex
+
+
 def value_hits(content: Column, active: Column, patterns, marker: str) -> Column:
     """Hits of value patterns, by pattern and line: the first on each line that isn't marked."""
     if not patterns:
         return F.array().cast(f"array<{HIT}>")
-    java = lambda r: f"(?U){r}"
     if any(may_cross_lines(r) for _, _, r in patterns):
         return _whole_text_hits(patterns, marker)(content, active)
     lines = F.split(content, "\n")
@@ -125,7 +130,7 @@ def value_hits(content: Column, active: Column, patterns, marker: str) -> Column
         return F.when(~line.contains(marker), first) if marker else first
 
     # most texts hold nothing at all: one test spares splitting those
-    some = content.rlike("(?U)" + "|".join(f"(?:{r})" for _, _, r in patterns))
+    some = content.rlike(java("|".join(f"(?:{r})" for _, _, r in patterns)))
     found = F.filter(F.transform(lines, on_line), lambda h: h.isNotNull())
     return F.when(some, found).otherwise(F.array().cast(f"array<{HIT}>"))
 
@@ -133,8 +138,6 @@ def value_hits(content: Column, active: Column, patterns, marker: str) -> Column
 def _whole_text_hits(patterns, marker: str):
     @F.arrow_udf(f"array<{HIT}>")
     def find(content: pa.Array, active: pa.Array) -> pa.Array:
-        import re
-
         compiled, out = [(f, n, re.compile(r)) for f, n, r in patterns], []
         for text, on in zip(content.to_pylist(), active.to_pylist()):
             seen: dict[int, dict] = {}

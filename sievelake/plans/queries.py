@@ -36,9 +36,14 @@ def _with_key(prefix: str, suffix: str = "") -> Column:
     return F.concat(F.lit(prefix), _k().cast("string"), F.lit(suffix))
 
 
+def _keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A table's keys, spread over all cores: a few bytes of each row move, so that rendering and parsing, which take the time, don't stay where a small file put them."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("k")).repartition(spark.sparkContext.defaultParallelism)
+
+
 def rendered_parts(spark: SparkSession, sf_dir: str, before: str = "") -> DataFrame:
     """A Python source for each part; every eleventh is broken."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    rows = _keys(spark, sf_dir, "part", "p_partkey")
     head = F.when(_k() % 6 == 1, "from airflow.decorators import task\n").otherwise("import os\n")
     decorator = _pick(6, "@dag\n", "@airflow.decorators.task\n", "@udf\n", "", "@sievelake.task(retries=3)\n", "")
     name = _pick(5, _with_key("deploy_"), _with_key("run_"), _with_key("helper_"), _with_key("_deploy_"), _with_key("x", "_job"))
@@ -167,7 +172,7 @@ def fix_then_audit_clean(spark, sf_dir):
 
 
 def rendered_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    rows = _keys(spark, sf_dir, "supplier", "s_suppkey")
     password = _pick(3, _with_key('"pw-', '"'), "'{{ env_var(\"X\") }}'", "${PW}")
     content = F.concat(F.lit("target: dev\npassword: "), password, _with_key("\nnotes: |\n  password: hidden\n\n  more\napi_token: tok-", "  # rotate\nurl: https://x/#y\nitems:\n  - secret_key: 's"), _k().cast("string"), F.lit("'\n  - plain\n"))
     return rows.select(_with_key("conf/s_", ".yml").alias("path"), F.lit("yaml").alias("kind"), content.alias("content"), F.lit(None).cast("string").alias("read_error"))
