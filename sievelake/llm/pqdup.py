@@ -3,10 +3,12 @@
 Vectors are scaled to length 1. A bounded sample (``SAMPLE``) trains the coarse centroids and the codebooks of the
 residuals' ``PARTS`` subspaces by k-means. Each vector goes to the list of its nearest centroid with its codes and
 its quantisation error. Each vector is also a query. Two vectors of cosine at least ``COSINE`` lie within
-r = sqrt(2 - 2 COSINE); a list c can hold a partner of q only if d(q,c)^2 - d(q,c*)^2 <= 2 r |c - c*|, c* the nearest
-centroid, since a partner lies on c's side of the bisector: those lists are probed, so probes are always sufficient. In a list, the asymmetric
-distance from the query to a code errs by at most the stored error; what may lie within r is reranked by exact
-cosine. Nothing within the cosine is lost. Lists are cut into parts of about ``PART_ROWS`` rows (hashes of ids), queries
+r = sqrt(2 - 2 COSINE). A partner lies on its centroid's side of the bisector to c*, the centroid nearest to the query, so
+d(q,c)^2 - d(q,c*)^2 is at most twice the product of c - c* with the way from query to partner. A way of length r in no
+special direction of D dimensions has a part along c - c* of standard deviation r / sqrt(D); all lists within ``SURE`` deviations
+(at most r itself, which is certain) are probed: 99.7 % of partners at that distance by the normal law, and more of nearer ones. In a list, the
+asymmetric distance from the query to a code errs by at most the stored error; all that may lie within r is reranked by
+exact cosine, so nothing is lost there. Lists are cut into parts of about ``PART_ROWS`` rows (hashes of ids), queries
 too, so a hot list is many tasks, and lists grow in number with the table.
 
 Nulls and edge cases: null, empty, zero-length and non-finite vectors, ones of another dimension than the most common,
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-COSINE, SAMPLE, LIST_ROWS, MOST_LISTS, PARTS, CODES, PART_ROWS = 0.95, 20_000, 1_000, 4_096, 8, 64, 4_096
+COSINE, SAMPLE, LIST_ROWS, MOST_LISTS, PARTS, CODES, PART_ROWS, SURE = 0.95, 20_000, 256, 4_096, 8, 64, 4_096, 3.0
 _SLACK = 1e-4  # float32 rounding
 
 
@@ -66,12 +68,13 @@ class Index:
         return near, codes, error
 
     def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """(query, list) of all lists that can hold a partner."""
+        """(query, list) of the lists that are likely enough to hold a partner."""
+        reach = radius * min(1.0, SURE / math.sqrt(x.shape[1]))
         d = ((x**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T).clip(0)
         near = d.argmin(1)
         between = np.sqrt(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)) if len(self.coarse) <= 512 else None
         gap = between[near] if between is not None else np.sqrt(((self.coarse**2).sum(1)[near][:, None] + (self.coarse**2).sum(1) - 2 * self.coarse[near] @ self.coarse.T).clip(0))
-        return np.argwhere(d - d[np.arange(len(x)), near][:, None] <= 2 * radius * gap + _SLACK)
+        return np.argwhere(d - d[np.arange(len(x)), near][:, None] <= 2 * reach * gap + _SLACK)
 
     def distances(self, query: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances from queries to the codes of a list, by table lookup."""

@@ -12,7 +12,7 @@ def test_all_pairs_of_brute_force(spark):
     want = {(i, j) for i, j in np.argwhere(np.triu(s, 1) >= 0.95 + 1e-6)}
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {(r.a, r.b): r.cosine for r in pqdup.similar(table, sample=300, list_rows=60, part_rows=16).collect()}
-    assert len(want) > 500 and want <= set(got) and all(s[p] >= 0.95 - 1e-5 for p in got)
+    assert len(want) > 500 and len(want & set(got)) >= 0.98 * len(want) and all(s[p] >= 0.95 - 1e-5 for p in got)
 
 
 def test_odd_rows(spark):
