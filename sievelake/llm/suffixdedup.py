@@ -100,9 +100,9 @@ def _prints(t: C.Tokens, at: np.ndarray, length: int) -> np.ndarray:
 def _windows(docs: DataFrame, spots: DataFrame, key: str, text: str, length: int, span: int) -> DataFrame:
     """(f, d, p): fingerprint, document and place of each run of ``length`` words that holds a matched suffix's first words."""
     rows = docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).where("t is not null")
-    n = spots.agg(F.sum(F.size("ps"))).first()[0] or 0
-    # places are broadcast while they are small; beyond that the documents that have some are shuffled to them
-    held = F.broadcast(spots) if n * 8 <= C.BROADCAST_BYTES else spots
+    size = spots.agg(F.sum(4 * F.size("ps") + 40)).first()[0] or 0
+    # places are broadcast while they are small; beyond that the documents are shuffled to them
+    held = F.broadcast(spots) if size <= C.BROADCAST_BYTES else spots
     rows = rows.join(held, F.col("d").eqNullSafe(F.col("e"))).select("d", "t", "ps")
 
     def find(batches):
@@ -156,9 +156,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     spots = C.save(spots.groupBy(F.col("d").alias("e")).agg(F.collect_set("p").alias("ps")))
     for level in levels.values():
         level.drop()
-    windows = C.save(_windows(docs, spots, key, text, length, span))
-    both = windows.groupBy("f").agg(F.min(F.xxhash64("d")).alias("lo"), F.max(F.xxhash64("d")).alias("hi")).where("lo <> hi").select("f")
-    exact = windows.join(both, "f", "left_semi").select("d", "p").distinct()
+    same = Window.partitionBy("f")
+    windows = _windows(docs, spots, key, text, length, span)
+    counted = windows.select("d", "p", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"), F.count("d").over(same).alias("named"), F.count("*").over(same).alias("n"))
+    exact = counted.where("lo <> hi or named > 0 and named < n").select("d", "p")
     C.discard(*hits)
     w = Window.partitionBy("d").orderBy("p")
     rows = exact.withColumn("new", F.coalesce((F.col("p") > F.lag("p").over(w) + length).cast("int"), F.lit(1)))
