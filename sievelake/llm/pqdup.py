@@ -3,13 +3,13 @@
 Vectors are scaled to length 1. A bounded sample (``SAMPLE``) trains the coarse centroids and the codebooks of the
 residuals' ``PARTS`` subspaces by k-means. Each vector goes to the list of its nearest centroid with its codes and
 its quantisation error. Each vector is also a query. Two vectors of cosine at least ``COSINE`` lie within
-r = sqrt(2 - 2 COSINE). A partner lies on its centroid's side of the bisector to c*, the centroid nearest to the query, so
-d(q,c)^2 - d(q,c*)^2 is at most twice the product of c - c* with the way from query to partner. A way of length r in no
-special direction of D dimensions has a part along c - c* of standard deviation r / sqrt(D); all lists within ``SURE`` deviations
-(at most r itself, which is certain) are probed: 99.7 % of partners at that distance by the normal law, and more of nearer ones. In a list, the
-asymmetric distance from the query to a code errs by at most the stored error; all that may lie within r is reranked by
-exact cosine, so nothing is lost there. Lists are cut into parts of about ``PART_ROWS`` rows (hashes of ids), queries
-too, so a hot list is many tasks, and lists grow in number with the table.
+r = sqrt(2 - 2 COSINE); a list c can hold a partner of q only if d(q,c)^2 - d(q,c*)^2 <= 2 r |c - c*|, c* the list of q,
+since a partner lies on c's side of the bisector: all those lists are probed, so probes are always sufficient. The bound
+holds from either end of a pair, so of two lists only one asks the other (the next half of the lists, in a circle). In a list, the
+asymmetric distance from the query to a code errs by at most the stored error; what may lie within r is reranked by exact
+cosine. Nothing within the cosine is lost. Neighbouring lists make a block of about ``PART_ROWS`` rows, to which a query goes once;
+a longer list is cut into parts by hashes of ids, and the queries of each block into parts of about ``ASK_ROWS``,
+so a hot list is many tasks, and lists grow in number with the table.
 
 Nulls and edge cases: null, empty, zero-length and non-finite vectors, ones of another dimension than the most common,
 and null ids have no partners; identical vectors are partners of cosine 1; repeated ids give a pair for each row of the partner, never one
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-COSINE, SAMPLE, LIST_ROWS, MOST_LISTS, PARTS, CODES, PART_ROWS, SURE = 0.95, 20_000, 256, 4_096, 8, 64, 4_096, 3.0
+COSINE, SAMPLE, LIST_ROWS, MOST_LISTS, PARTS, CODES, PART_ROWS, ASK_ROWS = 0.95, 20_000, 256, 4_096, 8, 64, 4_096, 16_384
 _SLACK = 1e-4  # float32 rounding
 
 
@@ -67,22 +67,23 @@ class Index:
         error = np.sqrt(sum(((rest[:, p] - b[codes[:, p]]) ** 2).sum(1) for p, b in enumerate(self.books)))
         return near, codes, error
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """(query, list) of the lists that are likely enough to hold a partner."""
-        reach = radius * min(1.0, SURE / math.sqrt(x.shape[1]))
-        d = ((x**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T).clip(0)
-        near = d.argmin(1)
-        between = np.sqrt(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)) if len(self.coarse) <= 512 else None
-        gap = between[near] if between is not None else np.sqrt(((self.coarse**2).sum(1)[near][:, None] + (self.coarse**2).sum(1) - 2 * self.coarse[near] @ self.coarse.T).clip(0))
-        return np.argwhere(d - d[np.arange(len(x)), near][:, None] <= 2 * reach * gap + _SLACK)
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+        """Whether each query, of list ``own``, has to ask each list: it can hold a partner, and isn't the one that asks."""
+        c = self.coarse.astype(np.float64)
+        half = (c**2).sum(1)
+        d = half - 2 * x.astype(np.float64) @ c.T
+        gap = np.sqrt((half[own][:, None] + half - 2 * c[own] @ c.T).clip(0))
+        step = (np.arange(len(c)) - own[:, None]) % len(c)
+        asks = (2 * step < len(c)) | (2 * step == len(c)) & (own[:, None] < np.arange(len(c)))
+        return asks & (d - d[np.arange(len(x)), own][:, None] <= 2 * radius * gap + _SLACK)
 
     def distances(self, query: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances from queries to the codes of a list, by table lookup."""
+        """Asymmetric distances from the codes of a list (rows) to queries (columns), by table lookup."""
         rest = (query - self.coarse[list_]).reshape(len(query), len(self.books), -1)
-        total = np.zeros((len(query), len(codes)), np.float32)
+        total = np.zeros((len(codes), len(query)), np.float32)
         for p, b in enumerate(self.books):
-            table = ((rest[:, p, None, :] - b[None]) ** 2).sum(2)
-            total += table[:, codes[:, p]]
+            table = ((b[:, None] - rest[None, :, p]) ** 2).sum(2)
+            total += table[codes[:, p]]
         return np.sqrt(total)
 
 
@@ -101,7 +102,7 @@ def train(rows: DataFrame, n: int, dim: int, sample: int, list_rows: int) -> Ind
     return Index(coarse, np.stack([kmeans(rest[:, p], CODES) for p in range(parts)]))
 
 
-def similar(table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def similar(table: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS, part_rows: int = PART_ROWS, ask_rows: int = ASK_ROWS) -> DataFrame:
     """(a, b, cosine): every pair of ids, a < b, whose vectors' cosine is at least so high."""
     spark, kind = table.sparkSession, table.schema[key].dataType.simpleString()
     v = F.col("v")
@@ -121,36 +122,60 @@ def similar(table: DataFrame, key: str = "vec_id", vector: str = "embedding", co
             near, codes, error = index.value.encode(_vectors(batch.column("v"), dim))
             yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float32))], ["l", "k", "v", "c", "e"])
 
+    vkind = table.schema[vector].dataType.simpleString()
+    coded = C.save(good.mapInArrow(encode, f"l int, k {kind}, v {vkind}, c binary, e float"))
+    rows_of = {r.l: r.n for r in coded.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row for each list
+    firsts, parts, room = [], [], 0
+    for l in range(len(index.value.coarse)):
+        size = rows_of.get(l, 0)
+        if not firsts or size > room:
+            firsts.append(l)
+            parts.append(max(1, -(-size // part_rows)))
+            room = part_rows
+        room -= size
+    block_of = np.repeat(np.arange(len(firsts)), np.diff([*firsts, len(index.value.coarse)]))
+    blocks = F.broadcast(spark.createDataFrame([(int(l), int(g), parts[g]) for l, g in enumerate(block_of)], "l int, g int, parts int"))
+    asking = -(-n // ask_rows)
+
     def probe(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                at = index.value.probes(_vectors(part.column("v"), dim), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(at[:, 1].astype(np.int32)), *(c.take(pa.array(at[:, 0])) for c in part.columns)], ["l", "k", "v"])
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                asks = index.value.probes(_vectors(part.column("v"), dim), part.column("l").to_numpy(), radius)
+                at, g = np.nonzero(np.logical_or.reduceat(asks, firsts, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(np.array(parts, np.int32)[g]), *(c.take(pa.array(at)) for c in part.columns)], ["g", "parts", "l", "k", "v"])
 
-    vkind = table.schema[vector].dataType.simpleString()
-    coded = C.save(good.mapInArrow(encode, f"l int, k {kind}, v {vkind}, c binary, e float"))
-    sizes = C.small(C.save(coded.groupBy("l").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))), 8)
-    every, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
-    members = coded.join(sizes, "l").select("l", "k", "v", "c", "e", own.alias("s"), every.alias("u"))
-    asked = good.mapInArrow(probe, f"l int, k {kind}, v {vkind}").join(sizes, "l").select("l", "k", "v", every.alias("s"), own.alias("u"))
+    part = lambda of: F.pmod(F.xxhash64("k"), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    members = coded.join(blocks, "l").select("g", "l", "k", "v", "c", "e", part(F.col("parts")).alias("s"), every(F.lit(asking)).alias("u"))
+    asked = coded.select("l", "k", "v").mapInArrow(probe, f"g int, parts int, l int, k {kind}, v {vkind}").select("g", "l", "k", "v", every(F.col("parts")).alias("s"), part(F.lit(asking)).alias("u"))
 
     def match(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"a": m.k[:0], "b": m.k[:0], "cosine": pd.Series([], dtype=float)})
         if not len(q) or not len(m):
             return empty
-        out, list_ = [], int(m.l.iloc[0])
+        out, m = [], m.sort_values("l")
         x, y = _vectors(pa.array(q.v.tolist()), dim), _vectors(pa.array(m.v.tolist()), dim)
         codes = np.stack([np.frombuffer(c, np.uint8) for c in m.c])
-        error, mk, qk = m.e.to_numpy(), m.k.to_numpy(), q.k.to_numpy()
-        for a in range(0, len(x), 256):
-            i, j = np.nonzero(index.value.distances(x[a : a + 256], list_, codes) <= radius + error + _SLACK)
-            i, j = i[qk[a + i] < mk[j]] + a, j[qk[a + i] < mk[j]]
-            for s in range(0, len(i), 65_536):
-                ii, jj = i[s : s + 65_536], j[s : s + 65_536]
-                cos = np.einsum("ij,ij->i", x[ii].astype(np.float64), y[jj].astype(np.float64))
-                ok = cos >= cosine
-                out.append(pd.DataFrame({"a": qk[ii[ok]], "b": mk[jj[ok]], "cosine": np.round(cos[ok], 6)}))
+        within, mk, qk, own = radius + m.e.to_numpy() + _SLACK, m.k.to_numpy(), q.k.to_numpy(), q.l.to_numpy()
+        lists, begin = np.unique(m.l.to_numpy(), return_index=True)
+        for a in range(0, len(x), 1024):
+            asks = index.value.probes(x[a : a + 1024], own[a : a + 1024], radius)
+            for list_, b, end in zip(lists, begin, [*begin[1:], len(m)]):
+                ask = np.flatnonzero(asks[:, list_]) + a
+                for b in range(b, end if len(ask) else b, 512):
+                    e = min(b + 512, end)
+                    j, i = np.nonzero(index.value.distances(x[ask], list_, codes[b:e]) <= within[b:e, None])
+                    i, j = ask[i], j + b
+                    # in one list both ends ask
+                    ok = np.where(own[i] == list_, qk[i] < mk[j], qk[i] != mk[j]).astype(bool)
+                    i, j = i[ok], j[ok]
+                    for s in range(0, len(i), 65_536):
+                        ii, jj = i[s : s + 65_536], j[s : s + 65_536]
+                        cos = np.einsum("ij,ij->i", x[ii].astype(np.float64), y[jj].astype(np.float64))
+                        ok = cos >= cosine
+                        u, v = qk[ii[ok]], mk[jj[ok]]
+                        out.append(pd.DataFrame({"a": np.where(u < v, u, v), "b": np.where(u < v, v, u), "cosine": np.round(cos[ok], 6)}))
         return pd.concat(out) if out else empty
 
-    return asked.groupBy("l", "s", "u").cogroup(members.groupBy("l", "s", "u")).applyInPandas(match, f"a {kind}, b {kind}, cosine double")
+    return asked.groupBy("g", "s", "u").cogroup(members.groupBy("g", "s", "u")).applyInPandas(match, f"a {kind}, b {kind}, cosine double")

@@ -20,3 +20,24 @@ def test_odd_rows(spark):
     table = spark.createDataFrame([(*r, 3, "x") for r in rows], "vec_id long, embedding array<double>, l int, k string")
     assert sorted((r.a, r.b, r.cosine) for r in pqdup.similar(table).collect()) == [(1, 2, 1.0), (1, 2, 1.0)]
     assert pqdup.similar(table.limit(0)).count() == 0
+
+
+def _lost(spark, x, **how):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i, j in np.argwhere(np.triu(s, 1) >= 0.95 + 1e-6).tolist()}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = [(r.a, r.b) for r in pqdup.similar(table, **how).collect()]
+    assert len(want) > 200 and len(got) == len(set(got)) and all(s[p] >= 0.95 - 1e-5 for p in got)
+    return len(want - set(got))
+
+
+def test_no_pair_is_lost(spark):
+    """Few directions among 64 columns, at two sizes, and vectors in all directions."""
+    g = np.random.default_rng(3)
+    for n in (500, 1500):
+        x = g.normal(size=(n, 5)) @ g.normal(size=(5, 64)) + 0.02 * g.normal(size=(n, 64))
+        assert _lost(spark, x, sample=n, list_rows=16, part_rows=64, ask_rows=400) == 0
+    x = g.normal(size=(600, 16))
+    x = np.concatenate([x, x[:150] + g.normal(size=(150, 16)) * 0.05, np.repeat(x[7:8], 30, 0)])
+    assert _lost(spark, x, sample=300, list_rows=60, part_rows=16) == 0
