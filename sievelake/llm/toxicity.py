@@ -3,13 +3,19 @@
 1. Terms are words and their first 4, 6 and 7 bytes (stems, for longer words). A bounded sample of
    labelled rows (``SAMPLE``, the lowest hashes of doc_id) gives the smoothed log-odds of each term
    for the toxic label; its z-score picks toxic seeds (``SEED_Z``), candidates (``CANDIDATE_Z``) and
-   neutral seeds (the commonest terms that tell nothing). The vocabulary holds at most ``VOCABULARY``.
-2. Over the whole corpus, co-occurrences of vocabulary terms are counted once in each run of
-   ``WINDOW`` words, and give the graph's edges: positive pointwise mutual information.
+   neutral seeds (the commonest terms that tell nothing), at most ``VOCABULARY``.
+2. Over the whole corpus, in runs of ``WINDOW`` words, each term of words without a seed is counted, and in how many runs a
+   toxic seed stands too. Of a toxic term's runs, as many hold one as of the seeds' own (another one, there); of any other's, as many as of
+   all runs. The share's lower bound (Wilson, ``SEED_Z``) is placed between these two; terms at ``LEAST_BESIDE`` of the way or
+   more (not all, since toxic texts may hold none of the seeds) join the vocabulary, labelled or not: those that stand
+   beside seeds most often, what the labels' terms leave of ``VOCABULARY`` and at least half as many.
+   Then co-occurrences of all vocabulary terms are counted once in each run,
+   and give the graph's edges: positive pointwise mutual information.
 3. Random walks with restart from either set of seeds give each candidate its polarity, what the share
    of the toxic walk exceeds one half by; a toxic seed keeps that of 1. Its weight is the polarity times the
    lower bound (Wilson, ``CONFIDENCE``) of the share of toxic rows among the sample's rows with the term; a
-   bound under ``LEAST_SHARE`` gives none.
+   bound under ``LEAST_SHARE`` gives none. A term that joined from the corpus has the share of the toxic walk, if that is over
+   one half, unless the labels contradict it (their share is surely under ``LEAST_SHARE``) or give more.
 4. A text's score is the weight of its words over their number. The cut that separates the sample's
    labels best (highest F1, middle of the gap) decides.
 
@@ -32,7 +38,7 @@ from . import common as C
 
 SAMPLE, VOCABULARY, NEUTRAL, WINDOW = 20_000, 6_000, 64, 128
 SEED_Z, CANDIDATE_Z, LEAST_DOCS, RESTART, STEPS = 3.5, 2.0, 3, 0.3, 60
-CONFIDENCE, LEAST_SHARE = 2.0, 0.5
+CONFIDENCE, LEAST_SHARE, LEAST_BESIDE = 2.0, 0.5, 0.25
 PREFIXES = (4, 6, 7)
 
 
@@ -118,6 +124,81 @@ def _pairs(t: C.Tokens, terms: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return np.unique(np.concatenate(out), return_counts=True)
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; for many, faster than unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _distinct(term: np.ndarray, seg: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms, sorted; and of each pair of term and segment, once, the term's place and the segment."""
+    values = _sorted(term)
+    low = np.uint64((1 << max(1, int(segments).bit_length())) - 1)
+    cut = values & ~low
+    if (cut[1:] != cut[:-1]).all():  # a faster sort, if the high bits tell the terms apart
+        code = _sorted((term & ~low) | seg.astype(np.uint64))
+        return values, np.cumsum(np.append(0, (code[1:] & ~low) != (code[:-1] & ~low))) if len(code) else np.zeros(0, np.int64), (code & low).astype(np.int64)
+    pair = np.unique(np.searchsorted(values, term) * segments + seg)
+    return values, pair // segments, pair % segments
+
+
+def _beside(t: C.Tokens, seeds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of words without a seed, their windows, and those with a seed; term 0 has all windows, term 1 the words with a seed and those beside another."""
+    size = (t.count + window - 1) // window
+    segment = (np.cumsum(size) - size)[t.row] + t.place // window
+    segments, terms = int(size.sum()), _terms(t)
+    own = np.zeros(len(t.hash), bool)
+    for x in terms:
+        own |= _index(x, seeds) >= 0
+    held = np.bincount(segment[own], minlength=segments)
+    term, seg = np.concatenate([x[~own] for x in terms]), np.tile(segment[~own], len(terms))
+    values, at, seg = _distinct(term[term != 0], seg[term != 0], segments)
+    both = np.bincount(at[held[seg] > 0], minlength=len(values))
+    sums = [segments, own.sum()], [(held > 0).sum(), (held[segment[own]] > 1).sum()]
+    return np.append(values, np.array([0, 1], np.uint64)), np.append(np.bincount(at, minlength=len(values)), sums[0]), np.append(both, sums[1])
+
+
+def _summed(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    terms, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return terms, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(terms)).astype(np.int64) for i in (1, 2))
+
+
+def _induced(docs: DataFrame, text: str, seeds: np.ndarray, window: int, least: int, most: int):
+    """The terms that stand beside toxic seeds over the whole corpus, at most so many; see the module."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(seeds))
+
+    def count(batches):
+        keep, size = [], 0
+        for batch in batches:
+            for part in C.slices(batch, "t"):
+                keep.append(_beside(C.Tokens(part.column("t"), PREFIXES), shared.value, window))
+                size += len(keep[-1][0])
+                if size > 1 << 20:
+                    keep = [_summed(keep)]
+                    size = len(keep[0][0])
+                    if size > 1 << 19:
+                        yield record(keep)
+                        keep, size = [], 0
+        if keep:
+            yield record([_summed(keep)])
+
+    def record(keep):
+        (terms, n, k), names = keep[0], ["term", "n", "k"]
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n), pa.array(k)], names)
+
+    rows = docs.select(F.lower(F.col(text)).alias("t")).where("t is not null").mapInArrow(count, "term long, n long, k long")
+    rows = C.save(rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("term").isin(0, 1) | (F.col("k") >= least)))
+    sums = {r.term: r.k / max(r.n, 1) for r in rows.where("term in (0, 1)").collect()}
+    every, toxic = sums.get(0, 0.0), sums.get(1, 0.0)
+    if toxic <= every:
+        rows = rows.limit(0)
+    n, p, zz = F.col("n"), F.col("k") / F.col("n"), SEED_Z**2
+    low = (p + zz / (2 * n) - SEED_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    bound = (low - every) / max(toxic - every, 1e-12)
+    out = rows.where("term not in (0, 1)").select("term", "k", bound.alias("bound")).where(F.col("bound") >= LEAST_BESIDE).orderBy(F.desc("k"), "term").limit(most).select("term").toArrow().to_pandas()
+    return out, rows
+
+
 def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
     """Where a random walk over the graph of directed edges a to b is that restarts at the seeds."""
     n = len(seeds)
@@ -143,7 +224,7 @@ def polarity(a: np.ndarray, b: np.ndarray, count: np.ndarray, windows: int, toxi
 
 def wilson(hits: np.ndarray, misses: np.ndarray, z: float = CONFIDENCE) -> np.ndarray:
     """Lower bound of the share of hits."""
-    n = hits + misses
+    n = np.maximum(hits + misses, 1e-12)
     p = hits / n
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
@@ -165,11 +246,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     neutral = z.where("abs(z) < 1").orderBy(F.desc("c"), "term").limit(NEUTRAL).toArrow().to_pandas()
     if not (toxic.z >= SEED_Z).any():
         return none
-    terms = np.concatenate([toxic.term.to_numpy(), neutral.term.to_numpy()]).astype(np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms = terms[order]
-    plus = np.concatenate([toxic.z.to_numpy() >= SEED_Z, np.zeros(len(neutral), bool)])[order]
-    minus = np.concatenate([np.zeros(len(toxic), bool), np.ones(len(neutral), bool)])[order]
+    hashes = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
+    most = max(vocabulary - NEUTRAL - len(toxic), vocabulary // 2)
+    # those that the labels gave already are among them
+    more, beside = _induced(docs, text, hashes(toxic.term[toxic.z >= SEED_Z]), window, least, most + len(toxic) + len(neutral))
+    told = set(more.term)
+    more = more[~more.term.isin(toxic.term) & ~more.term.isin(neutral.term)].head(most)
+    labelled = known.join(F.broadcast(spark.createDataFrame([(int(x),) for x in more.term], "term long")), "term").toArrow().to_pandas().set_index("term")
+    more = more.assign(x=more.term.map(labelled.x).fillna(0), c=more.term.map(labelled.c).fillna(0))
+    term = np.concatenate([toxic.term.to_numpy(), neutral.term.to_numpy(), more.term.to_numpy()]).astype(np.int64)
+    order = np.argsort(term.view(np.uint64))
+    terms = term.view(np.uint64)[order]
+    plus = np.concatenate([toxic.z.to_numpy() >= SEED_Z, np.zeros(len(neutral) + len(more), bool)])[order]
+    minus = np.concatenate([np.zeros(len(toxic), bool), np.ones(len(neutral), bool), np.zeros(len(more), bool)])[order]
+    corpus = np.array([x in told for x in term.tolist()])[order]
+    x, c = (np.concatenate([toxic[i], neutral[i], more[i]]).astype(float)[order] for i in "xc")
     shared = spark.sparkContext.broadcast(terms)
 
     def count(batches):
@@ -188,13 +279,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # at most the vocabulary's square, which doesn't depend on the input
     code, n = pairs.code.to_numpy(), pairs.n.to_numpy()
     windows, code, n = int(n[code < 0].sum()), code[code >= 0], n[code >= 0]
-    bound = wilson(np.concatenate([toxic.x, neutral.x])[order], np.concatenate([toxic.c, neutral.c])[order])
+    bound = wilson(x, c)
+    corpus &= ~minus & (1 - wilson(c, x) >= LEAST_SHARE)
     found = polarity(code // len(terms), code % len(terms), n, windows, plus, minus)
     weights = np.where(plus, 1, np.clip(2 * found - 1, 0, 1)) * np.where(bound >= LEAST_SHARE, bound, 0)
+    weights = np.maximum(weights, np.where(corpus & (found > 0.5), found, 0))
     keep = weights > 0
     lexicon = Lexicon(terms[keep], weights[keep], np.inf)
     got = rows.mapInArrow(_scored(spark.sparkContext.broadcast(lexicon), ["y"]), "y long, s double").toArrow().to_pandas()
-    C.discard(rows, known)
+    C.discard(rows, known, beside)
     return Lexicon(terms[keep], weights[keep], best_cut(got.s.to_numpy(), got.y.to_numpy() > 0))
 
 

@@ -46,3 +46,29 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.without_toxic(odd, labels).count() == odd.count()
     assert toxicity.toxic_documents(odd, labels).count() == 0
     assert toxicity.toxic_documents(none, labels).count() == 0 and toxicity.without_toxic(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_terms_without_labels_are_induced(spark, text):
+    """Words that no labelled row holds, but that stand beside the seeds elsewhere, find the documents that hold only them."""
+    g, rows, known, new = random.Random(5), [], ["vile", "nasty"], ["grotz", "blarfing"]
+    for i in range(900):
+        kind = ("known", "both", "new", "both")[i % 12 // 3] if i % 3 == 0 else "clean"
+        if i < 300 and kind in ("both", "new"):
+            kind = "known"
+        w = text(70_000 + i, 100, 600).split()
+        for at in g.sample(range(len(w)), 6 if kind != "clean" else 0):
+            w[at] = g.choice({"known": known, "both": known + new, "new": new}[kind])
+        rows.append((i, " ".join(w), kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    labels = spark.createDataFrame([(i, int(k != "clean")) for i, _, k in rows if i < 300], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, labels).collect()}
+    hidden, clean = {i for i, _, k in rows if k == "new"}, {i for i, _, k in rows if k == "clean"}
+    assert len(hidden) == 50 and len(found & hidden) >= 48 and len(found & clean) <= 0.02 * len(clean)
+
+
+def test_pairs_of_terms_and_segments():
+    g = np.random.default_rng(1)
+    for term in (g.integers(0, 1 << 63, 50).astype(np.uint64)[g.integers(0, 50, 999)], g.integers(1, 40, 999).astype(np.uint64)):
+        seg = g.integers(0, 30, 999)
+        values, at, found = toxicity._distinct(term, seg, 30)
+        assert sorted(zip(values[at].tolist(), found.tolist())) == sorted(set(zip(term.tolist(), seg.tolist())))
