@@ -6,8 +6,11 @@ Coverage is the share of the template's words that align.
 
 To find where to align without missing anything: if coverage is at least ``COVER``, at most that many of the
 template's words are unmatched as it leaves, so of one more than that of its words (the longest) one occurs in the text. Around each
-occurrence a window of the template's length and a quarter more on either side is aligned; a window without
-enough of the template's words at all is dropped first.
+occurrence a window of the template's length and a quarter more on either side is aligned; a text or window without
+enough of the template's words at all is dropped first. Where no window covers enough, words may be inserted, any number at any place: the
+longest common subsequence of template and whole text decides, over the text's words that the template has; as scattered
+words aren't a notice, each break in their patience alignment, of k such words, counts as log2(k + 1) words less in what must reach ``COVER``.
+Its place is the shortest that ends where the subsequence is first complete.
 
 Nulls and edge cases: null and empty texts hold no notice; a notice that occurs several times gives its best
 place, the first of equals; each template gives its own row; a text shorter than a template can still cover
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +84,27 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def spread(text: list, words: list) -> tuple[int, int, int]:
+    """Length of the longest common subsequence; first and last place in the text where it is first complete, and shortest then."""
+
+    def ends(a, b) -> tuple[int, int]:
+        full, most, at = (1 << len(b)) - 1, 0, -1
+        where: dict = defaultdict(int)
+        for j, w in enumerate(b):
+            where[w] |= 1 << j
+        row = full  # a bit is 0 where the length grows
+        for i, w in enumerate(a):
+            both = row & where.get(w, 0)
+            if both:
+                row = (row + both | row - both) & full
+                if (length := len(b) - row.bit_count()) > most:
+                    most, at = length, i
+        return most, at
+
+    most, last = ends(text, words)
+    return most, last - ends(text[last::-1], words[::-1])[1] if most else -1, last
+
+
 class Scanner:
     """Templates as word hashes, with the words that give a place away."""
 
@@ -113,6 +138,9 @@ class Scanner:
         for (row, k), starts in places.items():
             words, n, best = self.words[k], len(self.words[k]), None
             text, slack = t.hash[t.first[row] : t.first[row + 1]], max(3, n // 4)
+            held = np.flatnonzero(np.isin(text, self.sets[k]))
+            if np.isin(words, text[held]).sum() < self.cover * n:
+                continue
             for start in sorted(starts):
                 a, b = max(0, start - slack), min(len(text), start + n + slack)
                 window = text[a:b]
@@ -122,6 +150,12 @@ class Scanner:
                 share = len(got) / n
                 if share >= self.cover and (best is None or share > best[0]):
                     best = share, a + got[0][0], a + got[-1][0] + 1
+            if not best:
+                most, a, b = spread(text[held].tolist(), words.tolist())
+                got = patience(text[held[a : b + 1]].tolist(), words.tolist()) if most >= self.cover * n else []
+                breaks = sum(log2(q[0] - p[0]) for p, q in zip(got, got[1:]))
+                if got and len(got) - breaks >= self.cover * n:
+                    best = most / n, int(held[a]), int(held[b]) + 1
             if best:
                 out.append((row, k, *best))
         return out

@@ -54,3 +54,34 @@ def test_odd_rows(spark, odd, none):
     got = sorted((r.doc_id or 0, r.license, r.coverage, r.start_word) for r in licenses.license_notices(docs).collect())
     assert got == [(0, "MIT/notice", 1.0, 0), (1, "MIT/notice", 1.0, 1), (1, "MIT/notice", 1.0, 1)]
     assert licenses.license_notices(odd).count() == 0 and licenses.license_notices(none).count() == 0
+
+
+def test_spread_matches_brute_force():
+    g = random.Random(3)
+    for _ in range(300):
+        a, b = ([g.randrange(6) for _ in range(g.randrange(14))] for _ in "ab")
+        most, first, last = licenses.spread(a, b)
+        assert most == lcs(a, b) and (not most or lcs(a[first : last + 1], b) == most and lcs(a[first + 1 : last + 1], b) < most and lcs(a[:last], b) < most)
+
+
+def test_notices_with_insertions_match_whole_texts(spark, text):
+    import re
+
+    rows, want = [], set()
+    words = {k: re.findall(r"[0-9a-z_]+", t.lower()) for k, t in licenses.TEMPLATES.items()}
+    for name, notice in words.items():
+        for case in range(5):
+            w, half = text(len(rows), 60).split(), len(notice) // 2
+            more = text(900 + len(rows), (30, 60, 400, 0, 120)[case]).split()
+            if case == 3:  # a token after every word
+                w[20:20] = [x for y in notice for x in (y, "br")]
+            elif case == 4:  # every other word
+                w[20:20] = notice[:half:2] + more + notice[half::2]
+            else:
+                w[20:20] = notice[:half] + more + notice[half:]
+            rows.append((len(rows), " ".join(w)))
+            if lcs(w, notice) >= licenses.COVER * len(notice):
+                want.add((rows[-1][0], name))
+    got = {(r.doc_id, r.license) for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and len(want) >= 40
+    assert all(lcs(rows[i][1].split(), words[k]) >= licenses.COVER * len(words[k]) for i, k in got)
