@@ -187,7 +187,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of each end of the undirected edges (a, b); component is its smallest node.
+    """(node, component) of each end of the undirected edges (a, b), saved; component is its smallest node.
 
     Alternating large-star and small-star steps over saved tables, a logarithmic number of rounds.
     """
@@ -208,4 +208,6 @@ def components(edges: DataFrame) -> DataFrame:
         if (now.n, now.h) == mark:
             break
         mark = now.n, now.h
-    return pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = save(pairs.select(F.col("b").alias("node"), F.col("a").alias("component")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()))
+    discard(pairs)
+    return out

@@ -181,7 +181,7 @@ def groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, ba
     texts = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text))).alias("k"), F.lower(F.col(text)).alias("t"))
     texts = C.save(texts.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")))
     edges = C.save(verified(star, texts, idf, threshold))
-    label = C.save(C.components(edges))
+    label = C.components(edges)
     # pairs that share a bucket but that no verified link has joined
     named = buckets.join(label, F.col("k") == F.col("node"), "left").select("key", "k", F.coalesce("component", "k").alias("c"))
     open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
@@ -191,7 +191,7 @@ def groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, ba
     rest = C.save(rest.join(star, ["a", "b"], "left_anti"))
     if rest.count():
         more = C.save(verified(rest, texts, idf, threshold))
-        label2 = C.save(C.components(edges.select("a", "b").union(more.select("a", "b"))))
+        label2 = C.components(edges.select("a", "b").union(more.select("a", "b")))
         C.discard(label, more)
         label = label2
     C.discard(*discard, star, texts, edges, rest)
