@@ -108,6 +108,36 @@ class Contract:
         return hashlib.sha256(json.dumps(asdict(self), separators=(",", ":")).encode()).hexdigest()[:16]
 
 
+def portable(regex: str) -> str:
+    """A pattern for Python: ``\\z``, and ``$`` outside of (?m), are the end of the text and nothing before it."""
+    out, at, inside, many = [], 0, False, re.match(r"\(\?[a-zA-Z]*m[a-zA-Z]*\)", regex)
+    while at < len(regex):
+        c = regex[at]
+        if c == "\\":
+            out.append(r"\Z" if regex[at : at + 2] == r"\z" and not inside else regex[at : at + 2])
+            at += 2
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(r"\Z" if c == "$" and not inside and not many else c)
+        at += 1
+    return "".join(out)
+
+
+def compiled(regex: str):
+    """The pattern, compiled; what Python's own module doesn't know (\\p{L}, say) by another, if that is installed."""
+    try:
+        return re.compile(portable(regex))
+    except re.error as e:
+        try:
+            import regex as other
+        except ImportError:
+            raise e from None
+        try:
+            return other.compile(portable(regex))
+        except other.error:
+            raise e from None
+
+
 _ITEMS = {"parameters": Parameter, "value_patterns": ValuePattern}
 
 
@@ -170,7 +200,7 @@ def checked(contract: Contract) -> Contract:
     for section in (contract.secrets, contract.infrastructure):
         for p in section.value_patterns if section.enabled else ():
             try:
-                re.compile(p.regex)
+                compiled(p.regex)
             except re.error as e:
                 raise ContractError(f"pattern {p.name}: {e}") from None
     return contract

@@ -6,7 +6,6 @@ Pinned infrastructure is never rewritten, and neither is anything but Python.
 
 from __future__ import annotations
 
-import ast
 import os
 import shutil
 
@@ -19,6 +18,7 @@ from pyspark.sql.types import _parse_datatype_string
 from ..contract import Contract
 from ..functions.text import env_var_name, render_param
 from . import rules, scope
+from .parse_python import parsed as parsed_python
 
 FIXED = "path string, changed boolean, new_source string, params_added array<struct<function: string, parameter: string>>, secrets_externalized array<struct<key: string, env: string>>, manual array<struct<line: int, reason: string>>"
 
@@ -94,9 +94,7 @@ def fix_source(row: dict) -> dict:
             say(None, "edits overlap and weren't all made")
             continue
         new, last = new[:start] + text.encode() + new[end:], start
-    try:
-        ast.parse(new)
-    except (SyntaxError, ValueError):
+    if parsed_python(new.decode("utf-8", "surrogatepass")) is None:
         say(None, "the rewritten file wouldn't parse; change it by hand")
         return out | {"params_added": [], "secrets_externalized": []}
     return out | {"changed": True, "new_source": new.decode("utf-8", "surrogatepass")}

@@ -1,7 +1,7 @@
 """One Python source to functions, bindings and imports; pure Python, run inside the parse stage.
 
-Offsets are UTF-8 bytes, lines count from 1 and end at a line feed. A source that doesn't parse has no
-functions, bindings or imports; its text is still searched for values.
+Offsets are UTF-8 bytes, lines count from 1 and end at a line feed. Of a source that doesn't parse, the statements that do are kept
+(``recovered``); has_error says so. Nothing in a source can make the parser fail: at worst it has an error and nothing else.
 """
 
 from __future__ import annotations
@@ -13,6 +13,11 @@ import tokenize
 from bisect import bisect_right
 
 _OPEN = re.compile(rb"(?i)[a-z]{0,3}?(\"\"\"|'''|\"|')")
+#: lines as the parser of Python counts them
+_LINE = re.compile(rb"\r\n|\r|\n")
+_GOES_ON = re.compile(r"[)\]}]|(?:else|elif|except|finally)\b")
+#: statements that are tried as one, where one alone doesn't parse: open brackets, strings of many lines
+_JOINED = 8
 _COMMENT_OR_SPACE = re.compile(rb"(?:\s|\\\n|#[^\n]*)*")
 
 
@@ -20,9 +25,11 @@ class Source:
     def __init__(self, text: str):
         self.raw = text.encode("utf-8", "surrogatepass")
         self.starts = [0, *(m.end() for m in re.finditer(b"\n", self.raw))]
+        self.rows = [3 if text.startswith("\ufeff") else 0, *(m.end() for m in _LINE.finditer(self.raw))]
 
     def at(self, line: int, column: int) -> int:
-        return self.starts[min(line, len(self.starts)) - 1] + column
+        """A place that the parser gives."""
+        return self.rows[min(line, len(self.rows)) - 1] + column
 
     def span(self, node: ast.AST) -> tuple[int, int]:
         return self.at(node.lineno, node.col_offset), self.at(node.end_lineno, node.end_col_offset)
@@ -196,13 +203,82 @@ def _imports(src: Source, body: list[ast.stmt]) -> dict:
     return {"modules": modules, "binds_os": binds_os, "first_import": first, "after_prelude": after}
 
 
+def parsed(text: str) -> ast.Module | None:
+    """The tree of a text, which is taken as it is (no byte order mark, no coding declaration); None if it doesn't parse."""
+    try:
+        return ast.parse(text.removeprefix("\ufeff"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def recovered(text: str) -> ast.Module | None:
+    """The statements of a broken text that parse, at their places.
+
+    Statements are told apart by their indentation; one that doesn't parse, alone or with the next few, is blanked, or, if it has a body of
+    its own and its head is good, what doesn't parse of that.
+    """
+    lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z", text.removeprefix("\ufeff"))
+    indent = lambda s: len(s) - len(s.lstrip(" \t"))
+    idle = lambda s: not s.strip() or s.lstrip().startswith("#")
+
+    def good(lo: int, hi: int) -> bool:
+        body = "".join(lines[lo:hi])
+        return parsed(f"if 1:\n{body}" if body[:1] in " \t" else body) is not None
+
+    def blank(lo: int, hi: int) -> None:
+        for n in range(lo, hi):
+            s = lines[n].rstrip("\r\n")
+            lines[n] = " " * len(s.encode("utf-8", "surrogatepass")) + lines[n][len(s) :]
+
+    def keep(lo: int, hi: int, depth: int) -> None:
+        begins, decorated = [], False
+        for n in range(lo, hi):
+            if not idle(lines[n]) and indent(lines[n]) <= depth and not _GOES_ON.match(lines[n].lstrip()):
+                if not decorated:
+                    begins.append(n)
+                decorated = lines[n].lstrip().startswith("@")
+        ends, n = [*begins[1:], hi], 0
+        while n < len(begins):
+            a = begins[n]
+            last = next((m for m in range(n, min(n + _JOINED, len(ends))) if good(a, ends[m])), None)
+            if last is not None:
+                n = last + 1
+                continue
+            z = ends[n]
+            n += 1
+            inner = next((m for m in range(a + 1, z) if not idle(lines[m]) and indent(lines[m]) > depth), None)
+            head = inner and parsed("".join(s[depth:] for s in lines[a:inner]) + " " * (indent(lines[inner]) - depth) + "pass\n")
+            if head:
+                deeper = indent(lines[inner])
+                keep(inner, z, deeper)
+                if not good(a, z):  # nothing may be left of the body
+                    empty = next((m for m in range(inner, z) if not lines[m].strip() and len(lines[m].rstrip("\r\n")) >= deeper + 4), None)
+                    if empty is not None:
+                        lines[empty] = " " * deeper + "pass" + lines[empty][deeper + 4 :]
+                if good(a, z):
+                    continue
+            blank(a, z)
+
+    keep(0, len(lines), 0)
+    return parsed("".join(lines))
+
+
+_NOTHING = {"has_error": True, "functions": [], "bindings": [], "modules": [], "binds_os": False, "first_import": None, "after_prelude": 0}
+
+
 def analyze(text: str) -> dict:
     """functions (by start), bindings (by literal), modules, binds_os, first_import, after_prelude and has_error."""
-    src = Source(text)
     try:
-        tree = ast.parse(src.raw)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return {"has_error": True, "functions": [], "bindings": [], "modules": [], "binds_os": False, "first_import": None, "after_prelude": 0}
+        tree = parsed(text)
+        whole = tree is not None
+        if not whole:
+            tree = recovered(text)
+        return _NOTHING if tree is None else _analyzed(Source(text), tree) | {"has_error": not whole}
+    except Exception:  # of one file of many; whatever is wrong with it, it's reported as an error
+        return _NOTHING
+
+
+def _analyzed(src: Source, tree: ast.Module) -> dict:
     functions, bindings = [], []
     for node in ast.walk(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -215,4 +291,4 @@ def analyze(text: str) -> dict:
                 bindings.append({"key": key, "raw_value": src.text(found.pop("content_start"), found.pop("content_end")), "line": line, "line_text": src.line_text(line), "source": source, **found})
     functions.sort(key=lambda f: f["start"])
     bindings.sort(key=lambda b: b["span_start"])
-    return {"has_error": False, "functions": functions, "bindings": bindings, **_imports(src, tree.body)}
+    return {"functions": functions, "bindings": bindings, **_imports(src, tree.body)}

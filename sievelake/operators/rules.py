@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..contract import Contract
+from ..contract import Contract, compiled, portable
 from ..functions.text import ascii_lower, fingerprint, redact, render_param, trimmed, truncate
 from ..functions.wildcards import any_of
 from ..profiles import PROFILES
@@ -68,18 +68,20 @@ def is_infra(contract: Contract, b: Column, active: Column) -> Column:
 
 
 def may_cross_lines(regex: str) -> bool:
-    """Whether a pattern could match a line feed; told by Python's parser of patterns."""
+    """Whether a pattern could match a line feed, or tell a line's ends from the text's; told by Python's parser of patterns."""
     import re._constants as k
     import re._parser as parser
 
-    def has(node) -> bool:
+    def has(node, flags: int) -> bool:
         op, av = node
         if op is k.LITERAL:
             return av == 10
         if op is k.NOT_LITERAL:
             return av != 10
         if op is k.ANY:
-            return dotall
+            return bool(flags & re.DOTALL)
+        if op is k.AT:
+            return av in (k.AT_BEGINNING_STRING, k.AT_END_STRING) or av in (k.AT_BEGINNING, k.AT_END) and not flags & re.MULTILINE
         if op is k.IN:
             negated = av and av[0][0] is k.NEGATE
             holds = False
@@ -88,18 +90,22 @@ def may_cross_lines(regex: str) -> bool:
             return holds != bool(negated)
         if op is k.CATEGORY:
             return av in (k.CATEGORY_SPACE, k.CATEGORY_NOT_DIGIT, k.CATEGORY_NOT_WORD)
+        if op is k.SUBPATTERN:
+            flags = flags & ~av[2] | av[1]
         parts = av if isinstance(av, (list, tuple)) else [av]
         for p in parts:
             for q in p if isinstance(p, list) else [p]:
-                if isinstance(q, parser.SubPattern) and any(has(n) for n in q):
+                if isinstance(q, parser.SubPattern) and any(has(n, flags) for n in q):
                     return True
-                if isinstance(q, tuple) and len(q) == 2 and type(q[0]) is type(op) and has(q):
+                if isinstance(q, tuple) and len(q) == 2 and type(q[0]) is type(op) and has(q, flags):
                     return True
         return False
 
-    tree = parser.parse(regex)
-    dotall = bool(tree.state.flags & 16)
-    return any(has(n) for n in tree)
+    try:
+        tree = parser.parse(portable(regex))
+    except re.error:
+        return True  # a pattern for another module, which gets the whole text
+    return any(has(n, tree.state.flags) for n in tree)
 
 
 def _patterns(section, of_profile) -> list[tuple[str | None, str, str]]:
@@ -108,8 +114,8 @@ def _patterns(section, of_profile) -> list[tuple[str | None, str, str]]:
 
 
 def java(regex: str) -> str:
-    """A pattern for Java, its classes and boundaries those of Unicode; without any, the plain pattern is faster."""
-    return f"(?U){regex}" if re.search(r"\\[bBdDpPsSwW]", regex) else regex
+    """A pattern for Java: only line feeds end lines, and classes and boundaries are those of Unicode; without any, the plain pattern is faster."""
+    return f"(?dU){regex}" if re.search(r"\\[bBdDpPsSwW]", regex) else f"(?d){regex}"
 
 
 def value_hits(content: Column, active: Column, patterns, marker: str) -> Column:
@@ -138,10 +144,10 @@ def value_hits(content: Column, active: Column, patterns, marker: str) -> Column
 def _whole_text_hits(patterns, marker: str):
     @F.arrow_udf(f"array<{HIT}>")
     def find(content: pa.Array, active: pa.Array) -> pa.Array:
-        compiled, out = [(f, n, re.compile(r)) for f, n, r in patterns], []
+        patterns_, out = [(f, n, compiled(r)) for f, n, r in patterns], []
         for text, on in zip(content.to_pylist(), active.to_pylist()):
             seen: dict[int, dict] = {}
-            for framework, name, regex in compiled if text else ():
+            for framework, name, regex in patterns_ if text else ():
                 if framework and framework not in (on or ()):
                     continue
                 for m in regex.finditer(text):
@@ -258,5 +264,5 @@ def skipped(rows: DataFrame) -> DataFrame:
     """(path, reason, severity, detail) of sources that couldn't be read or parsed."""
     reason = F.when(F.col("content").isNull(), "unreadable").when(F.col("has_error"), "syntax_error")
     severity = F.when(reason == "unreadable", "error").otherwise("warning")
-    detail = F.when(reason == "unreadable", F.coalesce("read_error", F.lit("there is no content"))).otherwise("only its text was searched; findings may be hidden")
+    detail = F.when(reason == "unreadable", F.coalesce("read_error", F.lit("there is no content"))).otherwise("only what parses was audited; findings may be hidden")
     return rows.select("path", reason.alias("reason"), severity.alias("severity"), detail.alias("detail")).where("reason is not null")

@@ -73,6 +73,11 @@ class Audit:
     def fixed(self) -> DataFrame:
         return fixes.fixed(self.parsed, self.contract)
 
+    def fix_totals(self) -> DataFrame:
+        """One row: files that change, what is added to them and taken out of them, and what is left to a person."""
+        size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
+        return self.fixed().agg(F.count_if("changed").alias("files_changed"), size("params_added").alias("params_added"), size("secrets_externalized").alias("secrets_externalized"), size("manual").alias("manual"), F.count_if(F.size("manual") > 0).alias("files_manual"))
+
     def summary(self, strict: bool = False, expected: str | None = None) -> DataFrame:
         """One row of aggregates and the verdict. One partial and one final aggregation, nothing exploded."""
         count = lambda name, test: F.coalesce(F.sum(F.size(F.filter(name, test))), F.lit(0)).cast("long")

@@ -17,8 +17,10 @@ from ..operators import rules
 from ..operators.parse import parse
 from ..profiles import PROFILES
 from ..sources.files import from_table, include
+from . import forms
 from .audit import Audit
 
+
 def _k() -> Column:
     return F.col("k")
 
@@ -132,9 +134,9 @@ def _verdict_sql(strict: bool, drift: bool = False) -> str:
 
 
 def fingerprint_line_shift(spark, sf_dir):
-    """Identities that ten leading lines change: none."""
-    one, two = (_audit(spark, sf_dir, before=b).findings().select("fingerprint", "path") for b in ("", "\n" * 10))
-    return one.exceptAll(two).union(two.exceptAll(one)).agg(F.count("*").alias("changed"))
+    """Lines of each finding without and with ten lines before it: the identity is the same."""
+    one, two = (_audit(spark, sf_dir, before=b).findings().select("fingerprint", "path", F.col("line").alias(n)) for b, n in (("", "line"), ("\n" * 10, "shifted")))
+    return one.join(two, ["fingerprint", "path"], "full")
 
 
 def distinct_issues(spark, sf_dir):
@@ -164,11 +166,10 @@ def fix_manual_items(spark, sf_dir):
 
 
 def fix_then_audit_clean(spark, sf_dir):
-    """What an audit of the rewritten sources still finds, apart from pinned infrastructure: nothing."""
+    """What an audit of the rewritten sources still finds: pinned infrastructure, and parameters that only a person can add."""
     done = _audit(spark, sf_dir).fixed().where("changed")
     again = Audit(done.select("path", F.lit("python").alias("kind"), F.col("new_source").alias("content"), F.lit(None).cast("string").alias("read_error")))
-    left = again.findings().where("code <> 'KV003' and framework is null")
-    return left.select("path", "code", "symbol")
+    return again.findings().select("path", "code", "symbol", "subject")
 
 
 def rendered_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,13 +279,13 @@ ALL = {
     "gating_lenient": (_verdict(False), _verdict_sql(False)),
     "gating_strict": (_verdict(True), _verdict_sql(True)),
     "run_verdict_drift": (_verdict(False, True), _verdict_sql(False, True)),
-    "fingerprint_line_shift": (fingerprint_line_shift, "SELECT 0::BIGINT AS changed"),
+    "fingerprint_line_shift": (fingerprint_line_shift, f"{_PARTS} SELECT fingerprint, path, line, line + 10 AS shifted FROM p"),
     "distinct_issues": (distinct_issues, f"{_PARTS} SELECT fingerprint, path, code, symbol, subject, count(*) AS occurrences, min(line) AS first_line FROM p GROUP BY ALL"),
     "fix_insert_params": (fix_insert_params, f"{_PARTS} SELECT path, 'def ' || fn || '(' || {_SIGNATURE} || '):' AS signature FROM b WHERE {_LACKS} AND body NOT IN (0, 6)"),
     "fix_externalize_secrets": (fix_externalize_secrets, f"""{_PARTS}, s AS (SELECT *, CASE body WHEN 0 THEN 'api_password' ELSE 'db_secret_bucket' END AS key FROM b WHERE NOT broken AND body IN (0, 6)) SELECT path, key, upper(key) AS env, '    ' || key || ' = os.environ["' || upper(key) || '"]' AS line FROM s"""),
     "fix_add_import": (fix_add_import, f"{_PARTS} SELECT path, 'import os' AS first, 1 AS imports FROM b WHERE NOT broken AND body IN (0, 6)"),
     "fix_manual_items": (fix_manual_items, f"{_PARTS} SELECT path, 0 AS line, 'syntax' AS reason FROM b WHERE broken UNION ALL SELECT path, def_line, 'by_hand' FROM b WHERE NOT broken AND decision = 'governed_report_only' AND NOT (has_env AND has_dry)"),
-    "fix_then_audit_clean": (fix_then_audit_clean, "SELECT '' AS path, '' AS code, '' AS symbol WHERE FALSE"),
+    "fix_then_audit_clean": (fix_then_audit_clean, f"{_PARTS} SELECT path, code, symbol, subject FROM p JOIN b USING (path) WHERE (body IN (0, 6) OR decision = 'governed' AND NOT (has_env AND has_dry)) AND (code = 'KV003' OR framework IS NOT NULL)"),
     "yaml_scalars": (yaml_scalars, f"{_YAML} SELECT path, key, value, line FROM y"),
     "yaml_secrets": (yaml_secrets, _YAML_SECRETS),
     "kv002_value_rule_documents": (_corpus("documents", "doc_id"), _corpus_sql("documents", "doc_id")),
@@ -301,5 +302,6 @@ ALL = {
     "line_index": (line_index, "SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line, length(unnest(string_split(text, chr(10))))::INT AS chars FROM documents"),
     "profile_catalog": (profile_catalog, "SELECT * FROM (VALUES (0, 'dbt', 'dbt', 0, 2, 0, 0, 0, true), (1, 'polars', 'polars', 0, 3, 0, 3, 0, true), (2, 'flink', 'pyflink', 6, 2, 0, 5, 1, true), (3, 'databricks', 'databricks,dlt,pyspark', 9, 1, 1, 5, 3, true), (4, 'snowpark', 'snowflake', 7, 2, 0, 5, 1, true), (5, 'airflow', 'airflow', 8, 3, 0, 3, 0, false)) AS t(place, profile, imports, owns, secret_keys, secret_values, infra_keys, infra_values, auto_fix)"),
 }
+ALL |= forms.ALL
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items()}

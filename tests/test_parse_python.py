@@ -78,3 +78,23 @@ def test_content_is_what_lies_between_the_quotes(content, prefix, quote):
     if found and len(tree.body) == 1 and found[0]["key"] == "k":
         start, end = found[0]["span_start"], found[0]["span_end"]
         assert source.encode()[start:end].decode() == source[4:].rstrip() or "#" in content or "\n" in content
+
+
+def test_nothing_in_a_source_makes_it_fail():
+    one = lambda s: (lambda r: (r["has_error"], [(f["name"], f["line"]) for f in r["functions"]], [(b["key"], b["raw_value"], b["line"]) for b in r["bindings"]]))(analyze(s))
+    assert one("x = 1\rdef deploy(a):\n    pass\n") == (False, [("deploy", 1)], [])
+    assert one("\ufefftoken = 'abcd'\ndef f(a): ...\n") == (False, [("f", 2)], [("token", "abcd", 1)])
+    f = analyze("\ufeffdef f(a): ...\n")["functions"][0]
+    assert (f["paren_open"], f["paren_close"]) == (8, 10)
+    assert one("# coding: latin-1\ntoken = 'é1é2'\n") == (False, [], [("token", "é1é2", 2)])
+    for s in ("a = '\0'", "\ud800", "(" * 3000, "x = " + "-" * 5000 + "1", "def", "\f\x1a"):
+        assert analyze(s)["has_error"] in (True, False)
+
+
+def test_statements_of_broken_sources():
+    one = lambda s: (lambda r: (r["has_error"], [(f["name"], f["line"]) for f in r["functions"]], [(b["key"], b["line"]) for b in r["bindings"]]))(analyze(s))
+    assert one('print "x"\ntoken = "abcd"\n@task\ndef deploy():\n    pass\n') == (True, [("deploy", 4)], [("token", 2)])
+    assert one('class A:\n    def f(:\n        pass\n    token = "abcd"\n    def g(self):\n        key = "zz"\n') == (True, [("g", 5)], [("token", 4), ("key", 6)])
+    assert one('x = """\nabc def\n"""\nprint "é"\ntoken = "é"\nif x:\n    y = 1\nelse:\n    print "z"\n    key = "qq"\n') == (True, [], [("x", 1), ("token", 5), ("key", 10)])
+    assert one('call(\n"a",\n)\nexec "x"\ntoken = (\n"abcd")\n') == (True, [], [])
+    assert one('def broken(:\n    token = "abcd"\n') == (True, [], []) and one('token = "abcd') == (True, [], [])
