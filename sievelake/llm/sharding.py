@@ -2,107 +2,131 @@
 
 Rows with one key form a group that no shard splits; groups are in the order of their keys. The smallest
 capacity is found by binary search between the greatest group or the mean shard and their sum; each
-capacity is checked greedily, by binary search in the prefix sums of the sizes. The sums lie in the shared
-folder, in blocks of ``BLOCK_GROUPS`` groups. The driver holds one number for each block and the few
-blocks in which cuts fall, whatever the number of groups; texts aren't moved at all.
+capacity is checked greedily. The ordered group sizes lie in the shared folder. The driver knows prefix sums only at some of the
+groups' borders, at first every ``BLOCK_GROUPS``: a greedy check that may cut at known borders only tells which capacities
+surely do, one that may cut anywhere between them which surely don't, and the two bound where each cut falls. One Spark job then splits
+all stretches in which a cut may still fall, into about ``FINER`` pieces in all, and so on until the stretches are single groups:
+capacity and cuts are exact, after a number of jobs that is the logarithm of the groups to the base of some hundreds. The driver holds a
+number for each block of groups, whatever the number of groups; texts aren't moved at all.
 
 Nulls and edge cases: rows with a null key form one group, the first; null texts have size 0; an empty
 table gives no shards; a group greater than the mean shard is a shard's least capacity; where fewer than
-``shards`` shards do, fewer are used. Equal keys always share a shard.
+``shards`` shards do, fewer are used. Equal keys always share a shard; NaN keys are one group, the last.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from functools import lru_cache
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SHARDS, BLOCK_GROUPS = 64, 65_536
+SHARDS, BLOCK_GROUPS, FINER = 64, 65_536, 1 << 18
 
 
 class _Sizes:
-    """Prefix sums of the ordered group sizes, a block at a time."""
+    """Ordered group sizes, and the prefix sums at the borders known so far: stretches of rows r0 to r1 of a partition p."""
 
     def __init__(self, groups: DataFrame, block_groups: int):
-        spark = groups.sparkSession
+        self.spark, self.size = groups.sparkSession, block_groups
 
         def number(batches):
             n = 0
             for batch in batches:
                 at = np.arange(n, n + batch.num_rows)
                 n += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at // block_groups)], ["p", "k", "n", "b"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], ["p", "k", "n", "r"])
 
         ordered = groups.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first())
         kind = groups.schema["k"].dataType.simpleString()
-        self.table = C.save(ordered.select(F.spark_partition_id().alias("p"), "k", "n").mapInArrow(number, f"p int, k {kind}, n long, b long"))
+        self.table = C.save(ordered.select(F.spark_partition_id().alias("p"), "k", "n").mapInArrow(number, f"p int, k {kind}, n long, r long"))
+        block = F.floor(F.col("r") / block_groups).alias("b")
         # one row for each block of groups
-        self.blocks = sorted(self.table.groupBy("p", "b").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect(), key=lambda r: (r.p, r.b))
-        self.before = np.concatenate([[0], np.cumsum([r.n for r in self.blocks])]).astype(np.int64) if self.blocks else np.zeros(1, np.int64)
-        self.total, self.most = int(self.before[-1]), max((r.most for r in self.blocks), default=0)
-        self.spark = spark
-        self.block = lru_cache(64)(self._block)
-
-    def _block(self, i: int):
-        r = self.blocks[i]
-        got = self.table.where((F.col("p") == r.p) & (F.col("b") == r.b)).select("k", "n").orderBy(F.col("k").asc_nulls_first()).toArrow().to_pandas()
-        keys = got.k.astype(object).where(got.k.notna(), None).tolist()
-        return keys, np.concatenate([[0], np.cumsum(got.n.to_numpy(np.int64))])
-
-    def cut(self, sum_: int):
-        """(sum before, key) of the first group that a shard ending at this sum can't hold; None if it holds all."""
-        if sum_ >= self.total:
-            return None
-        i = int(np.searchsorted(self.before, sum_, "right")) - 1
-        keys, sums = self.block(i)
-        at = int(np.searchsorted(sums, sum_ - self.before[i], "right")) - 1
-        return int(self.before[i] + sums[at]), keys[at]
-
-
-def _greedy(sizes: _Sizes, capacity: int, shards: int):
-    """Keys at which new shards begin, or None if more than so many are needed."""
-    cuts, at = [], 0
-    while (found := sizes.cut(at + capacity)) is not None:
-        if len(cuts) + 1 == shards:
-            return None
-        at = found[0]
-        cuts.append(found[1])
-    return cuts
-
-
-def cuts(docs: DataFrame, key: str, size, shards: int = SHARDS, block_groups: int = BLOCK_GROUPS) -> tuple[int, list]:
+        got = self.table.groupBy("p", block).agg(F.min("r").alias("r0"), (F.max("r") + 1).alias("r1"), F.sum("n").alias("n"), F.max("n").alias("most")).toArrow().to_pandas()
+        self.most = int(got.most.max()) if len(got) else 0
+        self._hold(got)
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        self.rows = rows.sort_values(["p", "r0"], ignore_index=True)[["p", "r0", "r1", "n"]]
+        self.borders = np.concatenate([[0], np.cumsum(self.rows.n.to_numpy(np.int64))]).astype(np.int64)
+        self.single = (self.rows.r1 - self.rows.r0).to_numpy() == 1
+        self.total = int(self.borders[-1])
+
+    def greedy(self, capacity: int, shards: int, anywhere: bool) -> list[int]:
+        """Sums before the cuts, as many at most as ``shards``: cuts at known borders only, or anywhere within unknown stretches."""
+        cuts, at = [], 0
+        while at + capacity < self.total and len(cuts) < shards:
+            i = int(np.searchsorted(self.borders, at + capacity, "right")) - 1
+            at = at + capacity if anywhere and not self.single[i] else max(at, int(self.borders[i]))
+            cuts.append(at)
+        return cuts
+
+    def least(self, lo: int, hi: int, shards: int, anywhere: bool) -> int:
+        """The least capacity from lo to hi that does with so many shards; hi, if none is known to."""
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if len(self.greedy(mid, shards, anywhere)) < shards else (mid + 1, hi)
+        return hi
+
+    def refine(self, open_: np.ndarray, finer: int) -> None:
+        """Split the marked stretches, in one job."""
+        of = self.rows[open_].copy()
+        of["step"] = -(-(of.r1 - of.r0) // max(2, finer // len(of)))
+        of["b"] = of.r0 // self.size
+        some = self.spark.createDataFrame(of[["p", "b", "r0", "r1", "step"]], "p int, b long, r0 long, r1 long, step long")
+        # stretches lie within blocks, and there are few
+        rows = self.table.withColumn("b", F.floor(F.col("r") / self.size)).join(F.broadcast(some), ["p", "b"]).where("r0 <= r and r < r1")
+        got = rows.groupBy("p", "r0", F.expr("(r - r0) div step").alias("i")).agg(F.min("r").alias("a"), (F.max("r") + 1).alias("z"), F.sum("n").alias("n")).toArrow().to_pandas()
+        self._hold(pd.concat([self.rows[~open_], got.drop(columns="r0").rename(columns={"a": "r0", "z": "r1"})[["p", "r0", "r1", "n"]]]))
+
+    def keys(self, sums: list[int]) -> list:
+        """The keys of the groups that begin at these borders, the last of those that do."""
+        at = [int(np.searchsorted(self.borders, s, "right")) - 1 for s in sums]
+        begin = self.rows.iloc[at]
+        some = self.spark.createDataFrame([(int(p), int(r)) for p, r in zip(begin.p, begin.r0)], "p int, r long")
+        found = {(r.p, r.r): r.k for r in self.table.join(F.broadcast(some), ["p", "r"]).collect()}  # one for each shard
+        return [found[int(p), int(r)] for p, r in zip(begin.p, begin.r0)]
+
+
+def cuts(docs: DataFrame, key, size, shards: int = SHARDS, block_groups: int = BLOCK_GROUPS, finer: int = FINER) -> tuple[int, list]:
     """The smallest capacity and the keys at which its shards begin."""
-    sizes = _Sizes(docs.groupBy(F.col(key).alias("k")).agg(F.sum(size).cast("long").alias("n")), block_groups)
-    lo = max(sizes.most, -(-sizes.total // shards))
-    hi = sizes.most + -(-sizes.total // shards)
-    best = _greedy(sizes, hi, shards)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        found = _greedy(sizes, mid, shards)
-        if found is None:
-            lo = mid + 1
-        else:
-            hi, best = mid, found
-    if best is None or hi == lo and not best and sizes.total > hi:
-        best = _greedy(sizes, hi, shards)
+    sizes = _Sizes(docs.groupBy(key.alias("k")).agg(F.sum(size).cast("long").alias("n")), block_groups)
+    mean = -(-sizes.total // shards)
+    lo, hi = max(sizes.most, mean), sizes.most + mean
+    while True:
+        lo, hi = sizes.least(lo, hi, shards, True), sizes.least(lo, hi, shards, False)
+        near, far = sizes.greedy(lo, shards, False), sizes.greedy(hi, shards, True)
+        open_ = np.zeros(len(sizes.rows), bool)
+        for j in range(max(len(near), len(far))):
+            a, b = (x[j] if j < len(x) else sizes.total for x in (near, far))
+            a, b = min(a, b), max(a, b)
+            if a < b:
+                i, k = np.searchsorted(sizes.borders, [a, b], "right") - 1
+                open_[max(i, 0) : k + 1] = True
+        open_ &= ~sizes.single
+        if not open_.any():
+            break
+        sizes.refine(open_, finer)
+    found = sizes.greedy(hi, shards, False)
+    keys = sizes.keys(found) if found else []
     C.discard(sizes.table)
-    return hi, best or []
+    return hi, keys
+
 
+def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, name: str = "shard", block_groups: int = BLOCK_GROUPS, order=None, finer: int = FINER) -> DataFrame:
+    """The rows, all columns as they were, with the number of their shard (in a column of another name if there is one so called).
 
-def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, name: str = "shard", block_groups: int = BLOCK_GROUPS) -> DataFrame:
-    """The rows, all columns as they were, with the number of their shard (in a column of another name if there is one so called)."""
+    ``order`` is an expression to take instead of the key's column.
+    """
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    _, begins = cuts(docs, key, F.coalesce(F.octet_length(F.col(text)), F.lit(0)), shards, block_groups)
-
-    @F.arrow_udf("int")
-    def place(k: pa.Array) -> pa.Array:
-        return pa.array([0 if v is None else bisect_right(begins, v) for v in k.to_pylist()], pa.int32())
-
-    return docs.withColumn(name, place(F.col(key)) if begins else F.lit(0))
+    key = F.col(key) if order is None else order
+    _, begins = cuts(docs, key, F.coalesce(F.octet_length(F.col(text)), F.lit(0)), shards, block_groups, finer)
+    if not begins:
+        return docs.withColumn(name, F.lit(0))
+    kind = docs.select(key.alias("k")).schema["k"].dataType
+    # as many as shards; an order in which null is the first, as above
+    return docs.withColumn(name, F.when(key.isNull(), 0).otherwise(F.size(F.filter(F.array(*(F.lit(b).cast(kind) for b in begins)), lambda b: b <= key))))
