@@ -3,11 +3,12 @@
 Seeds are runs of ``SEED`` words of the test items. A seed is rare if at most a share ``RARE`` of all
 documents (one document at least) holds it, or if it is among the rarer half of its item's seeds (so an
 item that leaked very often is still searched for); the frequencies are counted over the whole corpus. Around
-each rare hit a window of the document as long as the item on either side is aligned to the item word
-by word (match 2, mismatch -1, gap -1). A document leaks an item if the best local score is at least
-``LEAK`` of the score of the item aligned to itself.
+each rare hit a window of the document is aligned to the item word by word (match 2, mismatch -1, gap -1). A document
+leaks an item if the best local score is at least ``LEAK`` of the score of the item aligned to itself, 2 n for n words. An alignment that
+scores so high has at most 2 n (1 - LEAK) gaps, so the window reaches that many words beyond either end of the item: of a
+leak that holds a seed nothing is cut off.
 
-The test items go to the executors in blocks of at most ``BLOCK_WORDS`` words: a benchmark larger than
+The test items go to the executors in blocks of at most ``BLOCK_BYTES`` (or one item): a benchmark larger than
 that takes more passes, never a larger broadcast.
 
 Nulls and edge cases: null and empty texts or items match nothing; an item shorter than the seed is
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SEED, RARE, LEAK, BLOCK_WORDS = 3, 0.002, 0.5, 2_000_000
+SEED, RARE, LEAK, BLOCK_BYTES = 3, 0.002, 0.5, 12_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -120,16 +121,17 @@ def leaked(t: C.Tokens, items: Items, rare: np.ndarray, seed: int = SEED, leak:
         words, best = items.words[item], 0.0
         text = t.hash[t.first[row] : t.first[row + 1]]
         n = len(words)
+        pad = int(MATCH * n * (1 - leak)) + 1
         begins.sort()
         lo = hi = None
         spans = []
         for b in begins:  # overlapping windows become one
-            if hi is not None and b - n // 2 <= hi:
-                hi = b + n + n // 2
+            if hi is not None and b - pad <= hi:
+                hi = b + n + pad
             else:
                 if hi is not None:
                     spans.append((lo, hi))
-                lo, hi = b - n // 2, b + n + n // 2
+                lo, hi = b - pad, b + n + pad
         spans.append((lo, hi))
         for lo, hi in spans:
             best = max(best, align(words, text[max(0, lo) : max(0, hi)]) / (MATCH * n))
@@ -143,23 +145,24 @@ def leaked(t: C.Tokens, items: Items, rare: np.ndarray, seed: int = SEED, leak:
 
 
 def _blocks(items: DataFrame, text: str, most: int):
-    """The items in order, in blocks of about ``most`` words; one block is on the driver at a time."""
-    rows, words = [], 0
+    """The items in order, in blocks of at most so many bytes, or of one item; one block is on the driver at a time."""
+    rows, size = [], 0
     for r in items.select(F.col(items.columns[0]), F.lower(F.col(text))).toLocalIterator():
-        rows.append(tuple(r))
-        words += len((r[1] or "").split())
-        if words >= most:
+        more = len((r[1] or "").encode())
+        if rows and size + more > most:
             yield rows
-            rows, words = [], 0
+            rows, size = [], 0
+        rows.append(tuple(r))
+        size += more
     if rows:
         yield rows
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED, rare: float = RARE, leak: float = LEAK, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", seed: int = SEED, rare: float = RARE, leak: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score): each leak of an item into a document, scored from ``leak`` to 1."""
     spark, out = docs.sparkSession, None
     id_type, item_type = docs.schema[key].dataType, items.schema[item_key].dataType
-    for rows in _blocks(items.select(F.col(item_key), F.col(item_text)), item_text, block_words):
+    for rows in _blocks(items.select(F.col(item_key), F.col(item_text)), item_text, block_bytes):
         block = spark.sparkContext.broadcast(Items([r[1] for r in rows], seed))
         known = spark.sparkContext.broadcast(_rare(docs, block, text, seed, rare))
 
@@ -179,10 +182,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return out
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", seed: int = SEED, rare: float = RARE, leak: float = LEAK, block_words: int = BLOCK_WORDS) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", seed: int = SEED, rare: float = RARE, leak: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that leak no item, all columns as they were; null texts stay. Judged row by row, without a join."""
     spark, out = docs.sparkSession, docs
-    for rows in _blocks(items.select(F.col(item_text).alias("k"), F.col(item_text)), item_text, block_words):
+    for rows in _blocks(items.select(F.col(item_text).alias("k"), F.col(item_text)), item_text, block_bytes):
         block = spark.sparkContext.broadcast(Items([r[1] for r in rows], seed))
         known = spark.sparkContext.broadcast(_rare(docs, block, text, seed, rare))
         out = out.where(_clean(block, known, seed, leak)(F.lower(F.col(text))))
