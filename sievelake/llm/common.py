@@ -18,6 +18,9 @@ BROADCAST_BYTES = 32 << 20
 #: Bytes of text that one vectorised step handles at once.
 BLOCK = 1 << 18
 
+#: Bytes of an Arrow batch, and what the session has by default.
+_BATCH, _BATCH_DEFAULT = 4 << 20, "67108864b"
+
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = True
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_":
@@ -134,12 +137,20 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 4 << 20):
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started."""
+    settle(spark)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+def settle(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session says how large: by default one holds 10,000 rows, however long their texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "-1", _BATCH_DEFAULT):
+        spark.conf.set(name, str(_BATCH))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -186,6 +197,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+class Forest:
+    """Connected groups of places 0 to n, joined by batches of pairs."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        p = self.parent
+        while True:
+            x, y = p[a], p[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(p, np.maximum(x, y), np.minimum(x, y))
+            while (p[p] != p).any():
+                p = p[p]
+        self.parent = p
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each end of the undirected edges (a, b), saved; component is its smallest node.
 

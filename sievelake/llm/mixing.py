@@ -1,17 +1,20 @@
 """Mixing sources to target weights: temperature, then budgeted block permutations.
 
-Source shares of the tokens are raised to an exponent from 0 (uniform) to 1 (as they are) and
-normalised. The exponent is bisected: the least at which the weights' entropy is at most ``entropy``
-times the greatest, and no source is repeated more than ``epochs`` times. Each source then gives its
+Source shares of the tokens are raised to an exponent and normalised; 0 makes them uniform, 1 leaves them as they are. The exponent is
+bisected. Where the shares' entropy is at most ``entropy`` times the greatest, it is the least at which the weights' is too and no source
+is repeated more than ``epochs`` times; if none from 0 to 1 does, 1. Where the shares are more even than that, it is the greatest, up to
+``STEEPEST``, at which the weights' entropy is still that much and no source is repeated more than ``epochs`` (or ``budget``, if that is
+more) times: the target is met, or the repetition limit is reached first, or sources are so equal that no exponent tells them apart. Each source then gives its
 weight's part of ``budget`` times all tokens: whole permutations of its documents, one after another,
 and the beginning of a last one. A source's stream is cut into ``blocks`` equal parts, so that every
 block holds the sources in their weights. A permutation is the order of a keyed MD5 of the document's
-id, so a place in it is a range of keys: per source a few cut keys are found by a two-level prefix sum,
-and each row then decides for itself how often it is used. No text is shuffled or joined.
+id (``order``), so a place in it is a range of keys: per source a few cut keys are found by a two-level prefix sum,
+and each row then decides for itself how often it is used. No text is shuffled or joined, unless there are so many sources that their
+plan is too large to broadcast.
 
 Nulls and edge cases: a null source is a source of its own; texts without tokens (null ones too) are
 left out, and so are sources that have nothing else; rows with one doc_id go together; a null doc_id is
-a document like others, of key ''. With one source the weights are 1.
+a document like others, of key ''. With one source, or equal ones, the weights are equal.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-ENTROPY, EPOCHS, BUDGET, BLOCKS, SEED = 0.97, 2.0, 1.0, 16, "mix"
+ENTROPY, EPOCHS, BUDGET, BLOCKS, SEED, STEEPEST = 0.97, 2.0, 1.0, 16, "mix", 64.0
 _SHIFT = 48  # keys have 60 bits, buckets of the prefix sum 12
 
 
@@ -37,18 +40,25 @@ def weights(tokens: list[int], entropy: float = ENTROPY, epochs: float = EPOCHS,
         raised = [(t / total) ** x for t in tokens]
         return [r / sum(raised) for r in raised]
 
-    def fits(x: float) -> bool:
-        w = at(x)
-        if len(w) > 1 and -sum(p * math.log(p) for p in w) > entropy * math.log(len(w)):
-            return False
-        return all(p * budget * total <= epochs * t for p, t in zip(w, tokens))
+    def even(x: float) -> float:
+        """Entropy over its target."""
+        return -sum(p * math.log(p) for p in at(x) if p) - entropy * math.log(len(tokens)) if len(tokens) > 1 else 0.0
 
+    def within(x: float, most: float) -> bool:
+        return all(p * budget * total <= most * t for p, t in zip(at(x), tokens))
+
+    if even(1.0) > 1e-12:
+        lo, hi = 1.0, STEEPEST
+        for _ in range(40):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if even(mid) >= 0 and within(mid, max(epochs, budget)) else (lo, mid)
+        return at(lo)
     lo, hi = 0.0, 1.0
-    if fits(lo):
+    if even(lo) <= 0 and within(lo, epochs):
         return at(lo)
     for _ in range(40):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+        lo, hi = (lo, mid) if even(mid) <= 0 and within(mid, epochs) else (mid, hi)
     return at(hi)
 
 
@@ -56,7 +66,9 @@ def token_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def _key(column: str, epoch, seed: str):
+def order(column: str, epoch=None, seed: str = SEED):
+    """The key of each document by whose order an epoch's permutation goes; the first's, if none is given."""
+    epoch = F.lit(0) if epoch is None else epoch
     text = F.concat(F.lit(f"{seed}|"), epoch.cast("string"), F.lit("|"), F.coalesce(F.col(column).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
@@ -81,23 +93,25 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             epoch = min((off - 1) // r.n, math.ceil(quota / r.n) - 1)
             marks.append((i, epoch, j, off - epoch * r.n))
     names = spark.createDataFrame(parts, T.StructType([T.StructField("i", T.IntegerType()), T.StructField("s", kind), T.StructField("e", T.IntegerType())]))
-    rows = narrow.join(F.broadcast(names), narrow.s.eqNullSafe(names.s)).select("i", F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("e"), "d", "n")
-    rows = rows.select("i", "e", _key("d", F.col("e"), seed).alias("k"), "n").withColumn("b", F.shiftright("k", _SHIFT))
+    rows = narrow.join(_few(names, len(parts)), narrow.s.eqNullSafe(names.s)).select("i", F.explode(F.sequence(F.lit(0), F.col("e") - 1)).alias("e"), "d", "n")
+    rows = rows.select("i", "e", order("d", F.col("e"), seed).alias("k"), "n").withColumn("b", F.shiftright("k", _SHIFT))
     sums = rows.groupBy("i", "e", "b").agg(F.sum("n").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("i", "e").orderBy("b")) - F.col("n"))
     mark = spark.createDataFrame(marks, "i int, e int, j int, off long")
-    at = C.save(sums.join(F.broadcast(mark), ["i", "e"]).where("before < off and off <= before + n").select("i", "e", "b", "j", "off", "before"))
-    inside = rows.join(F.broadcast(at.select("i", "e", "b").distinct()), ["i", "e", "b"]).groupBy("i", "e", "b", "k").agg(F.sum("n").alias("n"))
+    at = C.save(sums.join(_few(mark, len(marks)), ["i", "e"]).where("before < off and off <= before + n").select("i", "e", "b", "j", "off", "before"))
+    inside = rows.join(_few(at.select("i", "e", "b").distinct(), len(marks)), ["i", "e", "b"]).groupBy("i", "e", "b", "k").agg(F.sum("n").alias("n"))
     inside = inside.withColumn("start", F.sum("n").over(Window.partitionBy("i", "e", "b").orderBy("k")) - F.col("n"))
     # the first key that starts at the mark or after it; else the end of the bucket
     cuts = at.join(inside, ["i", "e", "b"]).groupBy("i", "e", "j", "b").agg(F.min(F.when(F.col("before") + F.col("start") >= F.col("off"), F.col("k"))).alias("cut"))
-    found = {(r.i, r.e, r.j): r.cut if r.cut is not None else (r.b + 1) << _SHIFT for r in cuts.collect()}
+    found: dict[tuple[int, int], list] = {}
+    for r in cuts.collect():
+        found.setdefault((r.i, r.e), []).append((r.j, r.cut if r.cut is not None else (r.b + 1) << _SHIFT))
     C.discard(narrow, at)
     table = []
     for i, s, e in parts:
         uses, first = [], 0
         for epoch in range(e):
-            own = sorted((j, cut) for (x, y, j), cut in found.items() if (x, y) == (i, epoch))
+            own = sorted(found.get((i, epoch), []))
             end = own[-1][1] if epoch == e - 1 else 1 << 62
             uses.append((epoch, first, [cut for j, cut in own if j < blocks], end))
             first += len(own)
@@ -106,11 +120,16 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return spark.createDataFrame(table, T.StructType([T.StructField("source", kind), T.StructField("uses", use)]))
 
 
+def _few(table: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Marked for broadcast, if so many rows are small enough; else left to a shuffled join."""
+    return F.broadcast(table) if rows * row_bytes <= C.BROADCAST_BYTES else table
+
+
 def _used(docs: DataFrame, key: str, text: str, source: str, seed: str, how: dict) -> tuple[DataFrame, str, str]:
     s, uses, use, k = C.fresh(docs, "s", "uses", "use", "k")
     table = plan(docs, key, text, source, seed=seed, **how).toDF(s, uses)  # one row for each source
-    rows = docs.where(token_count(text) > 0).join(F.broadcast(table), F.col(source).eqNullSafe(F.col(s)))
-    rows = rows.withColumn(use, F.explode(uses)).withColumn(k, _key(key, F.col(use)["epoch"], seed))
+    rows = docs.where(token_count(text) > 0).join(_few(table, table.count(), 1024), F.col(source).eqNullSafe(F.col(s)))
+    rows = rows.withColumn(use, F.explode(uses)).withColumn(k, order(key, F.col(use)["epoch"], seed))
     return rows.where(F.col(k) < F.col(use)["end"]), use, k
 
 

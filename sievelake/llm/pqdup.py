@@ -186,26 +186,6 @@ def train(rows: DataFrame, n: int, dim: int, sample: int, list_rows: int, sure:
     return Index(cells, subs, np.stack([kmeans(cut[:, p], CODES) for p in range(parts)]), near, rest, sure)
 
 
-class Forest:
-    """Connected groups of places 0 to n, joined by batches of pairs."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        p = self.parent
-        while True:
-            x, y = p[a], p[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(p, np.maximum(x, y), np.minimum(x, y))
-            while (p[p] != p).any():
-                p = p[p]
-        self.parent = p
-
-
 def _links(nodes: DataFrame, n: int, dim: int, vkind: str, cosine: float, sample: int, list_rows: int, part_rows: int, ask_rows: int, sure: float) -> DataFrame:
     """(i, r, links): nodes (i, v, n) of one dimension that have links in a task, a node they are linked to (or themselves), and how many rows."""
     spark = nodes.sparkSession
@@ -285,7 +265,7 @@ def _links(nodes: DataFrame, n: int, dim: int, vkind: str, cosine: float, sample
         ask, al = ask[order], al[order]
         nodes, place = np.unique(np.concatenate([qi, mi]), return_inverse=True)
         pq, pm = place[: len(qi)], place[len(qi) :]
-        forest, links = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
+        forest, links = C.Forest(len(nodes)), np.zeros(len(nodes), np.int64)
         for list_ in np.unique(ml):
             of = ask[np.searchsorted(al, list_) : np.searchsorted(al, list_, "right")]
             b, end = np.searchsorted(ml, list_), np.searchsorted(ml, list_, "right")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
 from . import chatformat, decontam, fixity, licenses, mixing, neardup, pqdup, sharding, suffixdedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    C.settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -79,15 +81,19 @@ WITH RECURSIVE n AS (
   SELECT doc_id, source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE text IS NOT NULL
 ), t AS (
   SELECT source, sum(n)::DOUBLE AS n, sum(sum(n)) OVER ()::DOUBLE AS every, count(*) OVER () AS kinds FROM n WHERE n > 0 GROUP BY source
-), bisect(i, lo, hi) AS (
-  SELECT 0, 0::DOUBLE, CASE WHEN (SELECT -sum((1 / kinds) * ln(1 / kinds)) <= {mixing.ENTROPY} * max(ln(kinds)) AND max(every / kinds * {mixing.BUDGET} / n) <= {mixing.EPOCHS} FROM t) THEN 0 ELSE 1 END::DOUBLE
+), own AS (
+  SELECT -sum(n / every * ln(n / every)) - {mixing.ENTROPY} * ln(count(*)) > 1e-12 AND count(*) > 1 AS even,
+    count(*) = 1 OR ln(count(*)) <= {mixing.ENTROPY} * ln(count(*)) AND max(every / kinds * {mixing.BUDGET} / n) <= {mixing.EPOCHS} AS uniform FROM t
+), bisect(i, even, lo, hi) AS (
+  SELECT 0, even, CASE WHEN even THEN 1 ELSE 0 END::DOUBLE, CASE WHEN even THEN {mixing.STEEPEST} WHEN uniform THEN 0 ELSE 1 END::DOUBLE FROM own
   UNION ALL
-  SELECT i + 1, CASE WHEN fits THEN lo ELSE (lo + hi) / 2 END, CASE WHEN fits THEN (lo + hi) / 2 ELSE hi END FROM (
-    SELECT b.i, b.lo, b.hi, (
-      SELECT -sum(w * ln(w)) <= {mixing.ENTROPY} * ln(count(*)) AND max(w * {mixing.BUDGET} * every / n) <= {mixing.EPOCHS}
+  SELECT i + 1, even, CASE WHEN even = fits THEN (lo + hi) / 2 ELSE lo END, CASE WHEN even = fits THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT b.i, b.even, b.lo, b.hi, (
+      SELECT CASE WHEN b.even THEN -sum(w * ln(w)) >= {mixing.ENTROPY} * ln(count(*)) AND max(w * {mixing.BUDGET} * every / n) <= greatest({mixing.EPOCHS}, {mixing.BUDGET})
+        ELSE -sum(w * ln(w)) <= {mixing.ENTROPY} * ln(count(*)) AND max(w * {mixing.BUDGET} * every / n) <= {mixing.EPOCHS} END
       FROM (SELECT pow(n / every, (b.lo + b.hi) / 2) / sum(pow(n / every, (b.lo + b.hi) / 2)) OVER () AS w, every, n FROM t)
     ) AS fits FROM bisect b WHERE i < 40 AND hi > 0)
-), alpha AS (SELECT arg_max(hi, i) AS a FROM bisect
+), alpha AS (SELECT CASE WHEN arg_max(even, i) THEN arg_max(lo, i) ELSE arg_max(hi, i) END AS a FROM bisect
 ), q AS (
   SELECT source, n::BIGINT AS n, floor(pow(n / every, a) / sum(pow(n / every, a)) OVER () * {mixing.BUDGET} * every)::BIGINT AS quota FROM t, alpha
 ), e AS (

@@ -13,6 +13,16 @@ def test_weights_meet_their_targets():
     assert mixing.weights([5]) == [1.0] and mixing.weights([7, 7]) == [0.5, 0.5]
 
 
+def test_sources_more_even_than_the_target():
+    entropy = lambda w: -sum(p * math.log(p) for p in w if p) / math.log(len(w))
+    w = mixing.weights([520, 480], entropy=0.97)
+    assert abs(entropy(w) - 0.97) < 1e-6 and w[0] > w[1]
+    tokens = [100, 101, 102, 130]
+    w = mixing.weights(tokens, entropy=0.5, epochs=2)  # the repetition limit comes first
+    assert entropy(w) > 0.5 and abs(max(p * sum(tokens) / t for p, t in zip(w, tokens)) - 2) < 1e-6
+    assert mixing.weights([7, 7, 7], entropy=0.5) == [1 / 3] * 3  # no exponent tells them apart
+
+
 def test_uses_match_brute_force(spark, text):
     rows = [(i, text(i, 5 + i % 40), "abc"[min(2, i // 100)] if i % 50 else None) for i in range(230)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -34,6 +44,13 @@ def test_uses_match_brute_force(spark, text):
     assert got == sorted(want) and max(e for _, _, e, _ in want) > 0
 
 
+def test_many_sources_without_broadcast(spark, text, monkeypatch):
+    docs = spark.createDataFrame([(i, text(i, 5 + i % 40), f"s{i % 7}" if i % 9 else None) for i in range(120)], "doc_id long, text string, source string")
+    want = sorted(map(str, mixing.mixed(docs).collect()))
+    monkeypatch.setattr(mixing.C, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, mixing.mixed(docs).collect())) == want and len(want) > 100
+
+
 def test_odd_rows(odd, none):
     out = mixing.mixture(odd)
     assert out.columns == odd.columns
