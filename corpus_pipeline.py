@@ -1,7 +1,9 @@
 """The corpus pipeline: documents without toxic ones, near duplicates and benchmark leaks, mixed and sharded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared
-folder and reads it again as the next stage's docs. Null texts pass the filters and have no tokens to mix.
+folder and reads it again as the next stage's docs; what a stage no longer needs is deleted. Null texts pass the filters and have no
+tokens to mix. Shards are cut in the order of the mixing's permutation of the documents, not of their ids, so that every shard holds
+all sources in their weights, as the blocks do; the copies of a document share a shard.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.sharded(docs)
+    return sharding.sharded(docs, order=mixing.order("doc_id"))
 
 
 STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("benchmark decontamination", benchmark_leaks), ("mixing", mix), ("sharding", shards)]
@@ -54,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = common.save(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
