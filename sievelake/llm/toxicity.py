@@ -2,26 +2,29 @@
 
 1. Terms are words and their first 4, 6 and 7 bytes (stems, for longer words). A bounded sample of
    labelled rows (``SAMPLE``, the lowest hashes of doc_id) gives the smoothed log-odds of each term
-   for the toxic label; its z-score picks toxic seeds (``SEED_Z``), candidates (``CANDIDATE_Z``) and
-   neutral seeds (the commonest terms that tell nothing), at most ``VOCABULARY``.
+   for the toxic label; its z-score picks toxic seeds (``SEED_Z``) and candidates (``CANDIDATE_Z``). Of its ``COMMON`` commonest terms
+   that tell nothing, the ``NEUTRAL`` that cover the clean rows most evenly (every language, say) are neutral seeds.
 2. Over the whole corpus, in runs of ``WINDOW`` words, each term of words without a seed is counted, and in how many runs a
    toxic seed stands too. Of a toxic term's runs, as many hold one as of the seeds' own (another one, there); of any other's, as many as of
    all runs. The share's lower bound (Wilson, ``SEED_Z``) is placed between these two; terms at ``LEAST_BESIDE`` of the way or
-   more (not all, since toxic texts may hold none of the seeds) join the vocabulary, labelled or not: those that stand
-   beside seeds most often, what the labels' terms leave of ``VOCABULARY`` and at least half as many.
-   Then co-occurrences of all vocabulary terms are counted once in each run,
-   and give the graph's edges: positive pointwise mutual information.
-3. Random walks with restart from either set of seeds give each candidate its polarity, what the share
-   of the toxic walk exceeds one half by; a toxic seed keeps that of 1. Its weight is the polarity times the
-   lower bound (Wilson, ``CONFIDENCE``) of the share of toxic rows among the sample's rows with the term; a
-   bound under ``LEAST_SHARE`` gives none. A term that joined from the corpus has the share of the toxic walk, if that is over
-   one half, unless the labels contradict it (their share is surely under ``LEAST_SHARE``) or give more.
-4. A text's score is the weight of its words over their number. The cut that separates the sample's
-   labels best (highest F1, middle of the gap) decides.
+   more (not all, since toxic texts may hold none of the seeds) are candidates too, labelled or not, however many.
+3. Co-occurrences of all seeds and candidates are counted once in each run over the whole corpus, and give the graph's edges: positive
+   pointwise mutual information, shifted by ln ``SHIFT`` as what most terms of one language have in common. Terms are looked up in a
+   table of 2^24 hash bits, of one size for any number of terms; what it lets through by chance a join drops.
+4. Random walks with restart from either set of seeds, ``STEPS`` joins of saved tables, give each term the share of the toxic walk. It is
+   the prior, worth ``PRIOR`` rows, of the share of toxic rows among those that hold the term; the sample's rows add to it. What this
+   share, less its standard deviation, exceeds one half by, times two, is the term's weight: the walk alone where no labelled row has
+   the term. Neutral seeds have none.
+5. A text's score is the weight of its words, each taken by its strongest term, over their number. The cut that separates the sample's
+   labels best (highest F1, middle of the gap) decides. The lexicon goes to the executors in blocks of about ``BLOCK_TERMS`` terms, words
+   and their stems together: a larger lexicon takes more of them, never a larger broadcast.
+
+Bounds: the labelled sample, on which seeds, weights' evidence and cut are fitted. All else covers the whole corpus; candidates, edges
+and lexicon grow with it, as tables.
 
 Nulls and edge cases: texts that are null or have no words score 0 and are never toxic; labels that are
 null or whose document is missing are left out; a doc_id that is labelled twice is toxic if one says so;
-without toxic or without clean labels nothing is toxic; identical texts count once in the sample.
+without toxic or without clean labels, or without a seed, nothing is toxic; identical texts count once in the sample.
 """
 
 from __future__ import annotations
@@ -36,48 +39,80 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, VOCABULARY, NEUTRAL, WINDOW = 20_000, 6_000, 64, 128
-SEED_Z, CANDIDATE_Z, LEAST_DOCS, RESTART, STEPS = 3.5, 2.0, 3, 0.3, 60
-CONFIDENCE, LEAST_SHARE, LEAST_BESIDE = 2.0, 0.5, 0.25
+SAMPLE, NEUTRAL, COMMON, WINDOW = 20_000, 64, 2_000, 128
+SEED_Z, CANDIDATE_Z, LEAST_DOCS, RESTART, STEPS = 3.5, 2.0, 3, 0.3, 12
+CONFIDENCE, LEAST_SHARE, LEAST_BESIDE, SHIFT, PRIOR, BLOCK_TERMS = 2.0, 0.5, 0.5, 2.0, 4.0, 1_000_000
 PREFIXES = (4, 6, 7)
+_SLICE = 1 << 20
+
+
+class Terms:
+    """Sorted term hashes, with a table of hash bits that drops most others first."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = np.sort(terms)
+        self.bits = packed(np.unique(self.terms >> np.uint64(40)))
+
+    def index(self, values: np.ndarray) -> np.ndarray:
+        """Place of each value among the terms, -1 where it isn't there."""
+        out = np.full(len(values), -1)
+        if len(self.terms):
+            at = np.flatnonzero(held(values, self.bits))
+            found = np.searchsorted(self.terms, values[at]).clip(max=len(self.terms) - 1)
+            out[at] = np.where(self.terms[found] == values[at], found, -1)
+        return out
+
+
+def packed(tops: np.ndarray) -> np.ndarray:
+    """A table of 2^24 bits, those of the given numbers set."""
+    bits = np.zeros(1 << 24, np.uint8)
+    bits[tops.astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def held(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the first 24 bits of each value are set in the table."""
+    top = (values >> np.uint64(40)).astype(np.int64)
+    return (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 != 0
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Sorted term hashes, the weight of each, and the score from which a text is toxic."""
+    """Blocks of terms and weights, broadcast; and the score from which a text is toxic."""
 
-    terms: np.ndarray
-    weights: np.ndarray
+    blocks: list
     cut: float
 
+    def score(self, text: str):
+        """The score of a text column, as an expression."""
+        out = F.lit(0.0)
+        for block in self.blocks:
+            out = out + _scorer(block)(F.lower(F.col(text)))
+        return out
+
 
 def _terms(t: C.Tokens) -> list[np.ndarray]:
     """Words and stems; the stem of a word that isn't longer is 0."""
     return [t.hash, *(np.where(t.end - t.start > k, t.prefix[k], np.uint64(0)) for k in PREFIXES)]
 
 
-def _index(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each value among the sorted keys, -1 where it isn't there."""
-    if not len(keys):
-        return np.full(len(values), -1)
-    bits = np.zeros(1 << 16, bool)
-    bits[(keys >> np.uint64(48)).astype(np.int64)] = True
-    out = np.full(len(values), -1)
-    at = np.flatnonzero(bits[(values >> np.uint64(48)).astype(np.int64)])
-    found = np.searchsorted(keys, values[at]).clip(max=len(keys) - 1)
-    out[at] = np.where(keys[found] == values[at], found, -1)
-    return out
-
-
-def scores(t: C.Tokens, lexicon: Lexicon) -> np.ndarray:
+def scores(t: C.Tokens, terms: Terms, weights: np.ndarray) -> np.ndarray:
     """Weight of each text's words, each taken by its strongest term, over the number of words."""
-    weight = np.zeros(len(t.hash))
-    padded = np.append(lexicon.weights, 0.0)
+    weight, padded = np.zeros(len(t.hash)), np.append(weights, 0.0)
     for term in _terms(t):
-        np.maximum(weight, padded[_index(term, lexicon.terms)], out=weight)
+        np.maximum(weight, padded[terms.index(term)], out=weight)
     return np.bincount(t.row, weight, t.rows) / np.maximum(t.count, 1)
 
 
+def _scorer(block):
+    @F.arrow_udf("double")
+    def score(t: pa.Array) -> pa.Array:
+        parts = [scores(C.Tokens(p.column("t"), PREFIXES), *block.value) for p in C.slices(pa.RecordBatch.from_arrays([t], ["t"]), "t", _SLICE)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score
+
+
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(most)
@@ -88,7 +123,7 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
 def _by_label(batches):
     """Documents of either label that hold each term; the sum of both for term 0."""
     for batch in batches:
-        for part in C.slices(batch, "t"):
+        for part in C.slices(batch, "t", _SLICE):
             t = C.Tokens(part.column("t"), PREFIXES)
             y = part.column("y").to_numpy().astype(bool)
             row = np.tile(t.row, 1 + len(PREFIXES))
@@ -105,23 +140,28 @@ def _by_label(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.append(values, np.uint64(0)).view(np.int64)), pa.array(np.append(toxic, y.sum())), pa.array(np.append(both - toxic, (~y).sum()))], ["term", "toxic", "clean"])
 
 
-def _pairs(t: C.Tokens, terms: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes a * len(terms) + b, a <= b, of terms in one window, and in how many windows; a = b counts the term."""
-    starts = np.cumsum((t.count + window - 1) // window) - (t.count + window - 1) // window
-    segment = starts[t.row] + t.place // window
-    size = len(terms)
-    found = [(segment, _index(x, terms)) for x in _terms(t)]
-    code = np.unique(np.concatenate([s[i >= 0] * size + i[i >= 0] for s, i in found]))
-    seg, term = code // size, code % size
-    out = [term * size + term]
-    step = 1
-    while step < len(seg):
-        same = seg[step:] == seg[:-step]
-        if not same.any():
-            break
-        out.append(term[:-step][same] * size + term[step:][same])
+def _segments(t: C.Tokens, window: int) -> tuple[np.ndarray, int]:
+    """The run of words that each word is in, and how many there are."""
+    size = (t.count + window - 1) // window
+    return (np.cumsum(size) - size)[t.row] + t.place // window, int(size.sum())
+
+
+def _pairs(t: C.Tokens, bits: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(a, b, runs, group): terms held by the table that stand in one run, a and b once in some order, and in how many; a = b counts the term, with its group."""
+    segment, _ = _segments(t, window)
+    found = [(x, np.flatnonzero(held(x, bits) & (x != 0))) for x in _terms(t)]
+    seg = np.concatenate([segment[at] for _, at in found])
+    keys, first, term = np.unique(np.concatenate([x[at] for x, at in found]), return_index=True, return_inverse=True)
+    group = np.concatenate([t.prefix[PREFIXES[0]][at] for _, at in found])[first]
+    code = _sorted(seg * len(keys) + term) if len(keys) else np.zeros(0, np.int64)
+    seg, term = code // max(1, len(keys)), code % max(1, len(keys))
+    out, at, step = [term * len(keys) + term], np.arange(len(seg)), 1
+    while len(at := at[at + step < len(seg)]) and len(at := at[seg[at + step] == seg[at]]):
+        out.append(term[at] * len(keys) + term[at + step])
         step += 1
-    return np.unique(np.concatenate(out), return_counts=True)
+    codes, n = np.unique(np.concatenate(out), return_counts=True)
+    a, b = codes // max(1, len(keys)), codes % max(1, len(keys))
+    return keys[a], keys[b], n, np.where(a == b, group[a], np.uint64(0)) if len(keys) else np.zeros(0, np.uint64)
 
 
 def _sorted(x: np.ndarray) -> np.ndarray:
@@ -142,19 +182,18 @@ def _distinct(term: np.ndarray, seg: np.ndarray, segments: int) -> tuple[np.ndar
     return values, pair // segments, pair % segments
 
 
-def _beside(t: C.Tokens, seeds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of words without a seed, their windows, and those with a seed; term 0 has all windows, term 1 the words with a seed and those beside another."""
-    size = (t.count + window - 1) // window
-    segment = (np.cumsum(size) - size)[t.row] + t.place // window
-    segments, terms = int(size.sum()), _terms(t)
+def _beside(t: C.Tokens, seeds: Terms, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of words without a seed, their runs, and those with a seed; term 0 has all runs, term 1 the words with a seed and those beside another."""
+    segment, segments = _segments(t, window)
+    terms = _terms(t)
     own = np.zeros(len(t.hash), bool)
     for x in terms:
-        own |= _index(x, seeds) >= 0
-    held = np.bincount(segment[own], minlength=segments)
+        own |= seeds.index(x) >= 0
+    with_seed = np.bincount(segment[own], minlength=segments)
     term, seg = np.concatenate([x[~own] for x in terms]), np.tile(segment[~own], len(terms))
     values, at, seg = _distinct(term[term != 0], seg[term != 0], segments)
-    both = np.bincount(at[held[seg] > 0], minlength=len(values))
-    sums = [segments, own.sum()], [(held > 0).sum(), (held[segment[own]] > 1).sum()]
+    both = np.bincount(at[with_seed[seg] > 0], minlength=len(values))
+    sums = [segments, own.sum()], [(with_seed > 0).sum(), (with_seed[segment[own]] > 1).sum()]
     return np.append(values, np.array([0, 1], np.uint64)), np.append(np.bincount(at, minlength=len(values)), sums[0]), np.append(both, sums[1])
 
 
@@ -163,20 +202,20 @@ def _summed(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(terms)).astype(np.int64) for i in (1, 2))
 
 
-def _induced(docs: DataFrame, text: str, seeds: np.ndarray, window: int, least: int, most: int):
-    """The terms that stand beside toxic seeds over the whole corpus, at most so many; see the module."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(seeds))
+def _induced(docs: DataFrame, text: str, seeds: np.ndarray, window: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The terms that stand beside toxic seeds over the whole corpus, see the module; and the saved table they are from."""
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(seeds))  # bounded by the sample
 
     def count(batches):
         keep, size = [], 0
         for batch in batches:
-            for part in C.slices(batch, "t"):
+            for part in C.slices(batch, "t", _SLICE):
                 keep.append(_beside(C.Tokens(part.column("t"), PREFIXES), shared.value, window))
                 size += len(keep[-1][0])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     keep = [_summed(keep)]
                     size = len(keep[0][0])
-                    if size > 1 << 19:
+                    if size > 1 << 18:
                         yield record(keep)
                         keep, size = [], 0
         if keep:
@@ -190,110 +229,141 @@ def _induced(docs: DataFrame, text: str, seeds: np.ndarray, window: int, least:
     rows = C.save(rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("term").isin(0, 1) | (F.col("k") >= least)))
     sums = {r.term: r.k / max(r.n, 1) for r in rows.where("term in (0, 1)").collect()}
     every, toxic = sums.get(0, 0.0), sums.get(1, 0.0)
-    if toxic <= every:
-        rows = rows.limit(0)
     n, p, zz = F.col("n"), F.col("k") / F.col("n"), SEED_Z**2
     low = (p + zz / (2 * n) - SEED_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    bound = (low - every) / max(toxic - every, 1e-12)
-    out = rows.where("term not in (0, 1)").select("term", "k", bound.alias("bound")).where(F.col("bound") >= LEAST_BESIDE).orderBy(F.desc("k"), "term").limit(most).select("term").toArrow().to_pandas()
-    return out, rows
+    beside = (low - every) / max(toxic - every, 1e-12) >= LEAST_BESIDE
+    return rows.where("term not in (0, 1)").where(beside if toxic > every else F.lit(False)).select("term"), rows
 
 
-def walk(a: np.ndarray, b: np.ndarray, weight: np.ndarray, seeds: np.ndarray, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
-    """Where a random walk over the graph of directed edges a to b is that restarts at the seeds."""
-    n = len(seeds)
-    home = seeds / max(seeds.sum(), 1e-12)
-    flow = weight / np.maximum(np.bincount(a, weight, n), 1e-12)[a]
-    at = home.copy()
+def graph(docs: DataFrame, text: str, terms: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Nodes (t, n, g: runs with the term, its group) and edges (a, b, w: PPMI, either way) of the given terms' co-occurrences; both saved."""
+    tops = terms.select(F.shiftrightunsigned("term", 40).alias("x")).distinct().toArrow()["x"].to_numpy()  # 2^24 numbers at most
+    bits = terms.sparkSession.sparkContext.broadcast(packed(tops))
+
+    def count(batches):
+        for batch in batches:
+            for part in C.slices(batch, "t", _SLICE):
+                t = C.Tokens(part.column("t"), PREFIXES)
+                a, b, n, g = _pairs(t, bits.value, window)
+                zero = np.zeros(1, np.uint64)
+                cols = [np.append(a, zero).view(np.int64), np.append(b, zero).view(np.int64), np.append(n, _segments(t, window)[1]), np.append(g, zero).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "n", "g"])
+
+    rows = docs.select(F.lower(F.col(text)).alias("t")).where("t is not null").mapInArrow(count, "a long, b long, n long, g long")
+    pairs = C.save(rows.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("g").alias("g")))
+    windows = (pairs.where("a = 0 and b = 0").agg(F.sum("n")).first()[0] or 0) if pairs.count() else 0
+    nodes = C.save(pairs.where("a = b and a <> 0").select(F.col("a").alias("t"), "n", "g").join(terms.select(F.col("term").alias("t")).distinct(), "t", "left_semi"))
+    of = C.small(nodes.select("t", F.col("n").alias("m")), 32)
+    w = F.log(F.col("n") * (windows / SHIFT) / (F.col("ma").cast("double") * F.col("mb")))
+    edges = pairs.where("a <> b").join(of.select(F.col("t").alias("a"), F.col("m").alias("ma")), "a").join(of.select(F.col("t").alias("b"), F.col("m").alias("mb")), "b").select("a", "b", w.alias("w")).where("w > 0")
+    edges = C.save(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    C.discard(pairs)
+    return nodes, edges
+
+
+def walk(edges: DataFrame, home: DataFrame, restart: float = RESTART, steps: int = STEPS) -> DataFrame:
+    """(t, p, m): where two random walks over the edges (a, b, w) are that restart at the home's (t, p, m), sums of p and of m being 1."""
+    out = edges.groupBy("a").agg(F.sum("w").alias("every"))
+    flow = C.save(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("every") * (1 - restart)).alias("f")))
+    at, back = C.save(home.select("t", "p", "m")), home.select("t", (F.col("p") * restart).alias("p"), (F.col("m") * restart).alias("m"))
     for _ in range(steps):
-        at = restart * home + (1 - restart) * np.bincount(b, at[a] * flow, n)
+        moved = flow.join(C.small(at.withColumnRenamed("t", "a"), 48), "a").select(F.col("b").alias("t"), (F.col("p") * F.col("f")).alias("p"), (F.col("m") * F.col("f")).alias("m"))
+        after = C.save(moved.unionAll(back).groupBy("t").agg(F.sum("p").alias("p"), F.sum("m").alias("m")))
+        C.discard(at)
+        at = after
+    C.discard(flow)
     return at
 
 
-def polarity(a: np.ndarray, b: np.ndarray, count: np.ndarray, windows: int, toxic: np.ndarray, neutral: np.ndarray) -> np.ndarray:
-    """Share of the toxic walk at each term, 0 where neither comes. (a, b, count): co-occurrences, a = b the term's own."""
-    n = len(toxic)
-    single = np.bincount(a[a == b], count[a == b], n)
-    pair = a != b
-    a, b, count = a[pair], b[pair], count[pair]
-    ppmi = np.maximum(0, np.log(count * float(windows) / (single[a] * single[b])))
-    a, b, ppmi = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([ppmi, ppmi])
-    plus, minus = walk(a, b, ppmi, toxic.astype(float)), walk(a, b, ppmi, neutral.astype(float))
-    return plus / np.maximum(plus + minus, 1e-12)
-
-
-def wilson(hits: np.ndarray, misses: np.ndarray, z: float = CONFIDENCE) -> np.ndarray:
-    """Lower bound of the share of hits."""
-    n = np.maximum(hits + misses, 1e-12)
+def wilson(hits, misses, z: float = CONFIDENCE):
+    """Lower bound of the share of hits, of columns."""
+    n = F.greatest(hits + misses, F.lit(1e-12))
     p = hits / n
-    return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
 
+def _neutral(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """The ``NEUTRAL`` of the terms that cover the sample's clean rows most evenly: each in turn the one that adds most, a row that has n already counting 1 / (1 + n)."""
+    hashes = np.sort(terms.astype(np.int64).view(np.uint64))
+    shared = rows.sparkSession.sparkContext.broadcast(Terms(hashes))
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, vocabulary: int = VOCABULARY, window: int = WINDOW) -> Lexicon:
-    """Induce the lexicon; see the module."""
+    def hold(batches):
+        for batch in batches:
+            for part in C.slices(batch, "t", _SLICE):
+                t = C.Tokens(part.column("t"), PREFIXES)
+                has = np.zeros((t.rows, len(hashes)), bool)
+                for x in _terms(t):
+                    at = shared.value.index(x)
+                    has[t.row[at >= 0], at[at >= 0]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.packbits(has, axis=1)], pa.binary())], ["h"])
+
+    if not len(hashes):
+        return terms
+    got = rows.where("y = 0").mapInArrow(hold, "h binary").toArrow()["h"].to_pylist()  # bounded by the sample
+    has = np.unpackbits(np.frombuffer(b"".join(got), np.uint8).reshape(len(got), -1), axis=1)[:, : len(hashes)].astype(np.float32)
+    times, chosen = np.zeros(len(has), np.float32), []
+    for _ in range(min(NEUTRAL, len(hashes))):
+        gain = (1 / (1 + times)) @ has
+        gain[chosen] = -1
+        chosen.append(int(gain.argmax()))
+        times += has[:, chosen[-1]]
+    return hashes[chosen].view(np.int64)
+
+
+def induce(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, window: int) -> tuple[DataFrame, DataFrame | None]:
+    """The labelled sample (t, y) and the lexicon (term, g, weight), saved; None if there is no seed."""
     spark = docs.sparkSession
-    none = Lexicon(np.zeros(0, np.uint64), np.zeros(0), np.inf)
     rows = _sample(docs, labels, key, text, label, sample)
     known = C.save(rows.mapInArrow(_by_label, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("x"), F.sum("clean").alias("c")))
     sums = known.where("term = 0").first()
     if not sums or not sums.x or not sums.c:
-        return none
+        C.discard(known)
+        return rows, None
     odds = F.log((F.col("x") + 0.5) / (F.lit(sums.x) - F.col("x") + 0.5)) - F.log((F.col("c") + 0.5) / (F.lit(sums.c) - F.col("c") + 0.5))
     z = known.where("term <> 0").withColumn("z", odds / F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("c") + 0.5)))
-    # the share's lower bound is at most 1 / (1 + z^2 / n) where all n rows are toxic: rarer terms can have no weight
+    # the share's lower bound is at most 1 / (1 + z^2 / n) where all n rows are toxic: rarer terms prove nothing
     least = max(LEAST_DOCS, math.ceil(CONFIDENCE**2 * LEAST_SHARE / (1 - LEAST_SHARE)))
-    toxic = z.where((F.col("x") >= least) & (F.col("x") >= LEAST_SHARE * (F.col("x") + F.col("c"))) & (F.col("z") >= CANDIDATE_Z)).orderBy(F.desc("z"), "term").limit(vocabulary - NEUTRAL).toArrow().to_pandas()
-    neutral = z.where("abs(z) < 1").orderBy(F.desc("c"), "term").limit(NEUTRAL).toArrow().to_pandas()
-    if not (toxic.z >= SEED_Z).any():
-        return none
-    hashes = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
-    most = max(vocabulary - NEUTRAL - len(toxic), vocabulary // 2)
-    # those that the labels gave already are among them
-    more, beside = _induced(docs, text, hashes(toxic.term[toxic.z >= SEED_Z]), window, least, most + len(toxic) + len(neutral))
-    told = set(more.term)
-    more = more[~more.term.isin(toxic.term) & ~more.term.isin(neutral.term)].head(most)
-    labelled = known.join(F.broadcast(spark.createDataFrame([(int(x),) for x in more.term], "term long")), "term").toArrow().to_pandas().set_index("term")
-    more = more.assign(x=more.term.map(labelled.x).fillna(0), c=more.term.map(labelled.c).fillna(0))
-    term = np.concatenate([toxic.term.to_numpy(), neutral.term.to_numpy(), more.term.to_numpy()]).astype(np.int64)
-    order = np.argsort(term.view(np.uint64))
-    terms = term.view(np.uint64)[order]
-    plus = np.concatenate([toxic.z.to_numpy() >= SEED_Z, np.zeros(len(neutral) + len(more), bool)])[order]
-    minus = np.concatenate([np.zeros(len(toxic), bool), np.ones(len(neutral), bool), np.zeros(len(more), bool)])[order]
-    corpus = np.array([x in told for x in term.tolist()])[order]
-    x, c = (np.concatenate([toxic[i], neutral[i], more[i]]).astype(float)[order] for i in "xc")
-    shared = spark.sparkContext.broadcast(terms)
-
-    def count(batches):
-        keep, windows = [], 0
-        for batch in batches:
-            for part in C.slices(batch, "t"):
-                t = C.Tokens(part.column("t"), PREFIXES)
-                windows += int(((t.count + window - 1) // window).sum())
-                keep.append(_pairs(t, shared.value, window))
-                if len(keep) > 16:
-                    keep = [_merged(keep)]
-        codes, n = _merged(keep) if keep else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(codes, -1)), pa.array(np.append(n, windows))], ["code", "n"])
-
-    pairs = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_pandas()
-    # at most the vocabulary's square, which doesn't depend on the input
-    code, n = pairs.code.to_numpy(), pairs.n.to_numpy()
-    windows, code, n = int(n[code < 0].sum()), code[code >= 0], n[code >= 0]
-    bound = wilson(x, c)
-    corpus &= ~minus & (1 - wilson(c, x) >= LEAST_SHARE)
-    found = polarity(code // len(terms), code % len(terms), n, windows, plus, minus)
-    weights = np.where(plus, 1, np.clip(2 * found - 1, 0, 1)) * np.where(bound >= LEAST_SHARE, bound, 0)
-    weights = np.maximum(weights, np.where(corpus & (found > 0.5), found, 0))
-    keep = weights > 0
-    lexicon = Lexicon(terms[keep], weights[keep], np.inf)
-    got = rows.mapInArrow(_scored(spark.sparkContext.broadcast(lexicon), ["y"]), "y long, s double").toArrow().to_pandas()
-    C.discard(rows, known, beside)
-    return Lexicon(terms[keep], weights[keep], best_cut(got.s.to_numpy(), got.y.to_numpy() > 0))
-
-
-def _merged(parts) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+    toxic = z.where((F.col("x") >= least) & (F.col("x") >= LEAST_SHARE * (F.col("x") + F.col("c"))) & (F.col("z") >= CANDIDATE_Z))
+    toxic = toxic.select("term", (F.col("z") >= SEED_Z).alias("seed")).toArrow().to_pandas()  # bounded by the sample
+    neutral = _neutral(rows, z.where("abs(z) < 1").orderBy(F.desc("c"), "term").limit(COMMON).toArrow()["term"].to_numpy())
+    seeds = toxic.term[toxic.seed.astype(bool)].to_numpy()
+    if not len(seeds):
+        C.discard(known)
+        return rows, None
+    beside, table = _induced(docs, text, seeds.astype(np.int64).view(np.uint64), window, least)
+    kinds = [(int(t), bool(s), False) for t, s in zip(toxic.term, toxic.seed)] + [(int(t), False, True) for t in neutral]
+    kinds = F.broadcast(spark.createDataFrame(kinds, "term long, plus boolean, minus boolean"))  # bounded by the sample
+    terms = C.save(beside.union(kinds.select("term")).distinct())
+    nodes, edges = graph(docs, text, terms, window)
+    nodes = nodes.join(kinds.withColumnRenamed("term", "t"), "t", "left").fillna(False)
+    plus, minus = nodes.agg(F.count_if("plus"), F.count_if("minus")).first()
+    home = nodes.where("plus or minus").select("t", (F.col("plus").cast("int") / max(plus, 1)).alias("p"), (F.col("minus").cast("int") / max(minus, 1)).alias("m"))
+    at = walk(edges, home)
+    share = F.col("p") / F.greatest(F.col("p") + F.col("m"), F.lit(1e-300))
+    named = nodes.join(at, "t").join(known.withColumnRenamed("term", "t"), "t", "left").fillna(0, ["x", "c"])
+    rate = (F.col("x") + PRIOR * share) / (F.col("x") + F.col("c") + PRIOR)
+    weight = 2 * (rate - F.sqrt(rate * (1 - rate) / (F.col("x") + F.col("c") + PRIOR + 1))) - 1
+    lexicon = C.save(named.where("not minus").select(F.col("t").alias("term"), "g", F.round(weight, 9).alias("weight")).where("weight > 0"))
+    C.discard(known, table, terms, edges, at)
+    return rows, lexicon
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, window: int = WINDOW, block_terms: int = BLOCK_TERMS) -> Lexicon:
+    """Induce the lexicon and fit the cut; see the module."""
+    spark = docs.sparkSession
+    rows, table = induce(docs, labels, key, text, label, sample, window)
+    blocks, cut = [], float("inf")
+    if table is not None:
+        count = -(-table.count() // block_terms)
+        for b in range(count):
+            got = table.where(F.pmod(F.xxhash64("g"), F.lit(count)) == b).toArrow()
+            hashes = got["term"].to_numpy().astype(np.int64).view(np.uint64)
+            blocks.append(spark.sparkContext.broadcast((Terms(hashes), got["weight"].to_numpy()[np.argsort(hashes)])))
+        got = rows.select("y", Lexicon(blocks, cut).score("t").alias("s")).toArrow()  # bounded by the sample
+        cut = best_cut(got["s"].to_numpy(), got["y"].to_numpy() > 0)
+        C.discard(table)
+    C.discard(rows)
+    return Lexicon(blocks, cut)
 
 
 def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
@@ -311,32 +381,14 @@ def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0)) / 2)
 
 
-def _scored(lexicon, names: list[str]):
-    def run(batches):
-        for batch in batches:
-            for part in C.slices(batch, "t"):
-                s = scores(C.Tokens(part.column("t"), PREFIXES), lexicon.value)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s)], [*names, "s"])
-
-    return run
-
-
 def toxic_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, score): the documents that the induced lexicon finds toxic."""
     lexicon = fit(docs, labels, key, text, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    got = docs.select(F.col(key).alias("k"), F.lower(F.col(text)).alias("t")).mapInArrow(_scored(shared, ["k"]), f"k {docs.schema[key].dataType.simpleString()}, s double")
+    got = docs.select(F.col(key).alias("k"), lexicon.score(text).alias("s"))
     return got.where(F.col("s") >= float(lexicon.cut)).select(F.col("k").alias(key), F.round("s", 6).alias("score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that aren't toxic, all columns as they were; judged row by row, without a join."""
     lexicon = fit(docs, labels, key, text, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    @F.arrow_udf("double")
-    def score(t: pa.Array) -> pa.Array:
-        parts = [scores(C.Tokens(p.column("t"), PREFIXES), shared.value) for p in C.slices(pa.RecordBatch.from_arrays([t], ["t"]), "t")]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
-
-    return docs.where(score(F.lower(F.col(text))) < float(lexicon.cut)) if len(lexicon.terms) else docs
+    return docs.where(lexicon.score(text) < float(lexicon.cut)) if lexicon.blocks else docs

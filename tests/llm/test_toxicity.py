@@ -1,7 +1,11 @@
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from sievelake.llm import common as C
 from sievelake.llm import toxicity
 
 
@@ -28,17 +32,68 @@ def test_held_out_accuracy(spark, text):
     assert {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()} == set(range(500)) - found
 
 
-def test_walk_is_a_distribution_near_its_seeds():
-    a, b = np.array([0, 1, 2, 3, 0, 1]), np.array([1, 0, 3, 2, 1, 0])
-    at = toxicity.walk(a, b, np.ones(6), np.array([1.0, 0, 0, 0]))
-    assert abs(at.sum() - 1) < 1e-9 and at[0] > at[1] > 0 and at[2] == at[3] == 0
-
-
-def test_best_cut_and_bound():
+def brute_graph(texts: list[str], terms: set[int], window: int):
+    """Runs with each term and with each two terms, by loops."""
+    single, pair, runs = {}, {}, 0
+    for s in texts:
+        t = C.Tokens(pa.array([s]), toxicity.PREFIXES)
+        every = list(zip(*[x.tolist() for x in toxicity._terms(t)]))
+        for at in range(0, len(every), window):
+            runs += 1
+            own = sorted({x for word in every[at : at + window] for x in word if x in terms})
+            for i, x in enumerate(own):
+                single[x] = single.get(x, 0) + 1
+                for y in own[i + 1 :]:
+                    pair[x, y] = pair.get((x, y), 0) + 1
+    return single, pair, runs
+
+
+def test_graph_and_walk_of_brute_force(spark, text):
+    texts = [text(i, 90, 300) for i in range(30)] + ["", "one", "achlichung achlichkeit w1 w2"]
+    hashes = {int(x) for s in texts for x in C.Tokens(pa.array([s])).hash.tolist() if x % 2}
+    stems = {int(x) for x in C.Tokens(pa.array(["achlichung"]), (7,)).prefix[7].tolist()}
+    terms = hashes | stems
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    docs = spark.createDataFrame([(s,) for s in [*texts, None]], "text string")
+    nodes, edges = toxicity.graph(docs, "text", spark.createDataFrame([(signed(x),) for x in terms], "term long"), 16)
+    single, pair, runs = brute_graph(texts, terms, 16)
+    assert {r.t: r.n for r in nodes.collect()} == {signed(x): n for x, n in single.items()}
+    want = {(signed(x), signed(y)): math.log(n * runs / toxicity.SHIFT / (single[x] * single[y])) for (x, y), n in pair.items()}
+    want = {k: w for (x, y), w in want.items() if w > 1e-12 for k in ((x, y), (y, x))}
+    got = {(r.a, r.b): r.w for r in edges.collect() if r.w > 1e-12}
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    names = sorted({k[0] for k in want})
+    place = {x: i for i, x in enumerate(names)}
+    flow = np.zeros((len(names),) * 2)
+    for (x, y), w in want.items():
+        flow[place[x], place[y]] = w
+    flow /= flow.sum(1, keepdims=True)
+    home = np.zeros((2, len(names)))
+    home[0, :3], home[1, 3:5] = 1 / 3, 1 / 2
+    at = home
+    for _ in range(toxicity.STEPS):
+        at = toxicity.RESTART * home + (1 - toxicity.RESTART) * at @ flow
+    table = spark.createDataFrame([(x, float(home[0, i]), float(home[1, i])) for i, x in enumerate(names[:5])], "t long, p double, m double")
+    found = {r.t: (r.p, r.m) for r in toxicity.walk(edges, table).collect()}
+    assert all(np.allclose(found.get(x, (0, 0)), at[:, i]) for x, i in place.items()) and np.allclose(at.sum(1), 1)
+
+
+def test_best_cut_and_bound(spark):
     score, toxic = np.array([0.9, 0.8, 0.2, 0.2, 0.0]), np.array([True, True, False, True, False])
     assert toxicity.best_cut(score, toxic) in (0.5, 0.1)
     assert toxicity.best_cut(score, np.zeros(5, bool)) == float("inf")
-    assert toxicity.wilson(np.array([4.0]), np.array([0.0]))[0] == 0.5
+    assert spark.range(1).select(toxicity.wilson(F.lit(4.0), F.lit(0.0))).first()[0] == 0.5
+
+
+def test_blocks_of_the_lexicon(spark, text):
+    """A lexicon cut into blocks scores as one that isn't; stems stay with their words."""
+    rows = corpus(200, 3, text)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.selectExpr("doc_id", "y AS toxic").where("doc_id < 150")
+    one, many = (toxicity.fit(docs, labels, block_terms=n) for n in (1_000_000, 4))
+    assert len(one.blocks) == 1 < len(many.blocks)
+    both = docs.select(one.score("text").alias("a"), many.score("text").alias("b")).collect()
+    assert max(r.a for r in both) > 0 and all(abs(r.a - r.b) < 1e-9 for r in both) and abs(one.cut - many.cut) < 1e-9
 
 
 def test_odd_rows(spark, odd, none):
@@ -48,6 +103,16 @@ def test_odd_rows(spark, odd, none):
     assert toxicity.toxic_documents(none, labels).count() == 0 and toxicity.without_toxic(odd, labels.limit(0)).count() == odd.count()
 
 
+def test_odd_rows_under_a_fitted_lexicon(spark, odd, text):
+    rows = corpus(200, 4, text)
+    docs = spark.createDataFrame([(i + 100, t, "s", "k", 1, None, "s", None) for i, t, _ in rows], odd.schema).union(odd)
+    labels = spark.createDataFrame([(i + 100, y) for i, _, y in rows] + [(5, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, labels).collect()}
+    assert 35 <= len(found) <= 45 and min(found) >= 100  # null, empty, blank and long texts are clean
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - len(found) and kept.where("doc_id is null").count() == 2
+
+
 def test_terms_without_labels_are_induced(spark, text):
     """Words that no labelled row holds, but that stand beside the seeds elsewhere, find the documents that hold only them."""
     g, rows, known, new = random.Random(5), [], ["vile", "nasty"], ["grotz", "blarfing"]
