@@ -5,9 +5,13 @@ A shingle is a run of ``N`` words (the whole text where it has fewer). Its weigh
 buckets, whose size doesn't depend on the input; a bucket's count errs by a fixed share of the rows,
 so idf behaves alike at every size. ``K = BANDS * ROWS`` consistent samples (Ioffe 2010) make the
 band keys. Texts that share a band key are candidates, and candidates are verified by their exact
-weighted Jaccard similarity. A bucket of n texts first tests its smallest member against the others;
+weighted Jaccard similarity. A bucket of n texts first tests its smallest member, the hub, against the others;
 then every pair in a bucket that those links left in different groups is tested too. So the groups
-are the connected components over all verified candidate pairs, while n copies cost n tests.
+are the connected components over all verified candidate pairs, while n copies cost n tests. Where many texts share a
+bucket without being similar (a template, say), those pairs are never rows: the bucket is cut into blocks of ``BLOCK`` texts, every two
+blocks are a task of their own, which indexes their shingles once, adds up what each two texts share and gives a spanning forest of
+the links found; a pair is left to the first bucket that it shares. Texts go to tasks rather than their shingles' weights, which are
+larger; a hub's text is repeated for each ``HUB_PAIRS`` of its pairs, so that no task holds all of them.
 
 Nulls and edge cases: a null text is nobody's duplicate; texts without words (empty ones too) are
 duplicates only of identical texts; repeated rows and rows that share a doc_id are ordinary
@@ -28,6 +32,7 @@ from . import common as C
 
 N, BANDS, ROWS, THRESHOLD = 2, 20, 3, 0.5
 BUCKETS = 1 << 18
+SMALL, BLOCK, HUB_PAIRS = 8, 256, 1_024
 _TABLE = 1 << 13
 
 
@@ -145,8 +150,70 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
                 keep = pa.array(sim >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep), pa.array(sim).filter(keep)], ["a", "b", "similarity"])
 
-    left = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
-    return left.join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(test, "a binary, b binary, similarity double")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    hubs = texts.select(F.col("k").alias("a"), F.col("t").alias("ta")).join(salts, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
+    right = pairs.join(salts, "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").withColumn("s", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    return right.join(hubs, ["a", "s"]).select("a", "b", "ta", "tb").mapInArrow(test, "a binary, b binary, similarity double")
+
+
+def _shared(row: np.ndarray, h: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """(n, n): the sum of the lesser weights of the shingles that each two texts share."""
+    order = np.argsort(h, kind="stable")
+    row, h, w = row[order], h[order], w[order].astype(np.float64)
+    begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(h)))
+    out = np.zeros((n, n))
+    for a, m in zip(begin[size > 1], size[size > 1]):
+        r, v = row[a : a + m], w[a : a + m]
+        out[r[:, None], r] += np.minimum(v[:, None], v)
+    return out
+
+
+def _within_blocks(rows: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, block: int) -> DataFrame:
+    """(a, b): a spanning forest, task by task, of the similar pairs of rows (key, k, c, first, n) that share a key but not the group c; n is the key's number."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+    rows = rows.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("p", F.pmod(F.xxhash64("k"), "parts").cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "k", "c", (F.col("k") == F.col("first")).alias("hub"))
+    rows = rows.join(texts, "k").select("key", "i", "j", "p", "c", "hub", "k", "t", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def links(task: pa.Table):
+        t = C.Tokens(task["t"])
+        row, h, w = _weights(t, shared.value)
+        both = _shared(row, h, w, t.rows)
+        total = np.bincount(row, w, t.rows)
+        p, c = task["p"].to_numpy(), np.unique(np.array(task["c"].to_pylist(), object), return_inverse=True)[1]
+        i, j, key = (task[x][0].as_py() for x in ("i", "j", "key"))
+        keys = task["keys"].combine_chunks().flatten().to_numpy().reshape(t.rows, -1)
+        band = int((keys[0] == key).argmax())
+        earlier = np.zeros((t.rows, t.rows), bool)
+        for b in range(band):
+            earlier |= keys[:, b, None] == keys[:, b]
+        hub = task["hub"].to_numpy(zero_copy_only=False).astype(bool)
+        test = (c[:, None] != c) & ~earlier & ~(hub[:, None] | hub)
+        if i != j:
+            test &= p[:, None] != p
+        near = both >= threshold * np.maximum(total[:, None] + total - both, 1e-30)
+        a, b = np.nonzero(np.triu(test & near, 1))
+        forest = C.Forest(t.rows)
+        forest.join(a, b)
+        at = np.flatnonzero(forest.parent != np.arange(t.rows))
+        k = task["k"].combine_chunks()
+        return pa.RecordBatch.from_arrays([k.take(pa.array(forest.parent[at])), k.take(pa.array(at))], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            key, i, j = (table[x].to_numpy() for x in ("key", "i", "j"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, z in zip([0, *cut], cut):
+                yield links(table.slice(a, z - a))
+            held = table.slice(int(cut[-1]) if len(cut) else 0).to_batches()  # a task's rows, of which more may come
+        if sum(b.num_rows for b in held):
+            yield links(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def band_keys(docs: DataFrame, idf: np.ndarray, text: str, bands: int, rows: int) -> DataFrame:
@@ -167,35 +234,34 @@ def band_keys(docs: DataFrame, idf: np.ndarray, text: str, bands: int, rows: int
     return rows_.mapInArrow(sign, "k binary, keys array<long>").dropDuplicates(["k"])
 
 
-def groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(k, component) of each text key that has a near duplicate of another text; k is the text's MD5."""
+def groups(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(node, component), saved, of each text key that has a near duplicate of another text; a key is the text's MD5."""
     df, n = frequencies(docs, text)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
     signed = C.save(band_keys(docs, idf, text, bands, rows))
     entries = signed.select("k", F.explode("keys").alias("key"))
-    many = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1").drop("n")
+    many = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
     buckets = C.save(entries.join(many, "key"))
-    discard = [signed, buckets]
     star = C.save(buckets.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct())
-    nodes = C.small(C.save(buckets.select("k").distinct()), 48)
+    some = C.save(buckets.select("k").distinct())
     texts = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text))).alias("k"), F.lower(F.col(text)).alias("t"))
-    texts = C.save(texts.join(nodes, "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")))
-    edges = C.save(verified(star, texts, idf, threshold))
+    texts = C.save(texts.join(C.small(some, 48), "k", "left_semi").groupBy("k").agg(F.first("t").alias("t")))
+    edges = C.save(verified(star, texts, idf, threshold).select("a", "b"))
     label = C.components(edges)
     # pairs that share a bucket but that no verified link has joined
-    named = buckets.join(label, F.col("k") == F.col("node"), "left").select("key", "k", F.coalesce("component", "k").alias("c"))
+    named = buckets.join(label, F.col("k") == F.col("node"), "left").select("key", "k", "first", "n", F.coalesce("component", "k").alias("c"))
     open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = named.join(open_, "key")
-    right = left.select("key", F.col("k").alias("b"), F.col("c").alias("d"))
-    rest = left.withColumnRenamed("k", "a").join(right, "key").where("a < b and c <> d").select("a", "b").distinct()
+    left = C.save(named.join(open_, "key"))
+    few = left.where(F.col("n") <= small)
+    right = few.select("key", F.col("k").alias("b"), F.col("c").alias("d"))
+    rest = few.withColumnRenamed("k", "a").join(right, "key").where("a < b and c <> d").select("a", "b").distinct()
     rest = C.save(rest.join(star, ["a", "b"], "left_anti"))
-    if rest.count():
-        more = C.save(verified(rest, texts, idf, threshold))
-        label2 = C.components(edges.select("a", "b").union(more.select("a", "b")))
-        C.discard(label, more)
-        label = label2
-    C.discard(*discard, star, texts, edges, rest)
-    return label.withColumnsRenamed({"node": "k"})
+    more = C.save(verified(rest, texts, idf, threshold).select("a", "b").union(_within_blocks(left.where(F.col("n") > small), texts.join(signed, "k"), idf, threshold, block)))
+    if more.count():
+        before, label = label, C.components(edges.union(more))
+        C.discard(before)
+    C.discard(signed, buckets, star, some, texts, edges, left, rest, more)
+    return label
 
 
 def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -204,12 +270,14 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _decided(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
-    """(k, id, n, group, size, keep) of all rows in groups of two or more; keep is the group's smallest (id, k), struct."""
+    """(k, id, n, group, size, keep), saved, of all rows in groups of two or more; keep is the group's smallest (id, k), struct."""
     ids = _members(docs, key, text)
     label = groups(docs, text, **how)
-    every = ids.join(label, "k", "left").select("k", "id", "n", F.coalesce("component", "k").alias("group"))
+    every = ids.join(label.withColumnsRenamed({"node": "k"}), "k", "left").select("k", "id", "n", F.coalesce("component", "k").alias("group"))
     best = every.groupBy("group").agg(F.sum("n").alias("size"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k")).alias("keep")).where("size > 1")
-    return every.join(best, "group")
+    out = C.save(every.join(best, "group"))
+    C.discard(ids, label)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -219,9 +287,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents with one of each group, all columns as they were; rows with a null text stay."""
-    fate = _decided(docs, key, text, **how)
+    rows = _decided(docs, key, text, **how)
     k, stay, best, copies = C.fresh(docs, "k", "stay", "best", "copies")
-    fate = C.save(fate.groupBy("k").agg(F.first(F.col("keep.k") == F.col("k")).alias(stay), F.first("keep.id").alias(best), F.max(F.when(F.col("id").eqNullSafe(F.col("keep.id")), F.col("n"))).alias(copies)).withColumnRenamed("k", k))
+    fate = C.save(rows.groupBy("k").agg(F.first(F.col("keep.k") == F.col("k")).alias(stay), F.first("keep.id").alias(best), F.max(F.when(F.col("id").eqNullSafe(F.col("keep.id")), F.col("n"))).alias(copies)).withColumnRenamed("k", k))
+    C.discard(rows)
     joined = docs.withColumn(k, F.unhex(F.md5(F.col(text)))).join(C.small(fate, 80), k, "left")
     kept = joined.where(F.col(stay).isNull() | (F.col(stay) & F.col(key).eqNullSafe(F.col(best))))
     once = kept.where(F.coalesce(F.col(copies), F.lit(1)) == 1).select(docs.columns)

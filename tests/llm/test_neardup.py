@@ -1,7 +1,12 @@
+import hashlib
 import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from sievelake.llm import neardup
 
 
@@ -38,3 +43,27 @@ def test_odd_rows(spark, odd, none):
     # the long near copy, the repeated row and the same word in other letters go; null texts stay
     assert ids == sorted([(False, 1, False), (False, 2, True), (False, 3, False), (False, 4, False), (False, 5, False), (True, 0, False), (True, 0, True), (False, 7, False), (False, 9, False), (False, 10, False)])
     assert neardup.without_near_duplicates(none).count() == 0 and neardup.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("small, block", [(0, 16), (0, 1 << 20), (1 << 20, 16)])
+def test_texts_of_one_template(spark, text, small, block):
+    """Many texts that share buckets without being similar, a few of which are: what is found doesn't depend on blocks, and holds all verified links."""
+    frame = text(77, 60, 5000)
+    rows = [(i, frame + " " + text(500 + i, 70, 5000)) for i in range(120)]
+    rows += [(200 + i, rows[7 * i][1].replace("w1", "w9", 3) + " end") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df, n = neardup.frequencies(docs)
+    idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
+    signed = {bytes(r.k): set(r.keys) for r in neardup.band_keys(docs, idf, "text", 20, 1).collect()}
+    key = {hashlib.md5(t.encode()).digest(): t for _, t in rows}
+    names = sorted(key)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if signed[a] & signed[b]]
+    sim = neardup.jaccard(pa.array([key[a] for a, _ in pairs]), pa.array([key[b] for _, b in pairs]), idf)
+    group = {a: a for a in names}
+    for (a, b), x in zip(pairs, sim):
+        if x >= 0.5 and group[a] != group[b]:
+            lo, hi = sorted((group[a], group[b]))
+            group = {k: lo if v == hi else v for k, v in group.items()}
+    want = {k: v for k, v in group.items() if sum(v == x for x in group.values()) > 1}
+    got = {bytes(r.node): bytes(r.component) for r in neardup.groups(docs, rows=1, small=small, block=block).collect()}
+    assert got == want and len(pairs) > 2000 and 20 <= len(want) < 60
