@@ -167,7 +167,7 @@ def save(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared(spark)}/sievelake-{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._sievelake_path = path  # type: ignore[attr-defined]
     return out
 

@@ -5,16 +5,17 @@ row. Which words of a passage are anchors depends on the passage alone, so of tw
 ``LENGTH`` words the same anchor lies among the first SPAN words, and their suffixes there share at least
 ``PREFIX = LENGTH - SPAN + 1`` words. A suffix array holds (fingerprint of the first PREFIX words, document,
 place), sorted by the fingerprint: an order in which equal prefixes are neighbours, which is all that
-matching asks of it. Arrays are tables bucketed by the fingerprint, so scans of two arrays side by side
-need no exchange.
+matching asks of it (a fingerprint index in the place of full suffix arrays: texts aren't compared beyond PREFIX words). Arrays are tables
+bucketed by the fingerprint, so scans of two arrays side by side, and merges, go bucket by bucket without an exchange.
 
-Documents come in ``batches``. Each new batch gets its array, which is scanned against that of every level
+Documents come in ``batches``; one scan finds the suffixes of all. Each new batch gets its array, which is scanned against that of every level
 for fingerprints in both; then it becomes level 0, and two arrays of one level merge into one of the next, so
 each suffix is rewritten once a level. A passage is reported in all documents that hold it.
 
 A suffix match is a candidate. Around candidates alone, the runs of LENGTH words that hold a matched suffix's first
 words are compared between documents, so that exactly the passages of LENGTH words or more that two documents share
-are reported, to the word. Nulls and edge cases: null, empty and
+are reported, to the word. These runs go once to a table bucketed by their fingerprints, of which least and greatest document tell those
+that repeat: streamed aggregates and a semi-join, so a passage that a third of all documents hold is never held in memory. Nulls and edge cases: null, empty and
 shorter texts have no suffixes; rows with one doc_id (null too) are one document, and a passage that repeats
 only inside it isn't reported; repeated rows' spans are given once; texts are read whole.
 """
@@ -63,14 +64,22 @@ def anchors(t: C.Tokens, span: int = SPAN, prefix: int = PREFIX) -> tuple[np.nda
 
 
 class _Array:
-    """A suffix array: a table bucketed and sorted by the fingerprint, in the shared folder."""
+    """A table bucketed and sorted by the fingerprint, in the shared folder: a suffix array, or the runs of words around its matches."""
 
     def __init__(self, rows: DataFrame, buckets: int):
         self.spark, self.name = rows.sparkSession, f"sievelake_{uuid.uuid4().hex}"
         self.path = f"{C.shared(self.spark)}/{self.name}"
-        rows.repartition(buckets, "f").write.bucketBy(buckets, "f").sortBy("f").option("path", self.path).saveAsTable(self.name)
+        rows.write.bucketBy(buckets, "f").sortBy("f").option("path", self.path).saveAsTable(self.name)
         self.table = self.spark.table(self.name)
 
+    @classmethod
+    def of(cls, rows: DataFrame, buckets: int) -> _Array:
+        return cls(rows.repartition(buckets, "f"), buckets)
+
+    def merged(self, other: _Array, buckets: int) -> _Array:
+        """Both as one array. Rows are distinct as they are; asking for that keeps a union of buckets in buckets, without an exchange."""
+        return _Array(self.table.union(other.table).distinct(), buckets)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.table._sievelake_path = self.path
@@ -130,9 +139,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels: dict[int, _Array] = {}
     hits: list[DataFrame] = []
+    every = C.save(suffixes(docs, key, text, span, prefix).withColumn("b", F.pmod(F.xxhash64("d"), F.lit(batches))), "b")
     for b in range(batches):
-        rows = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)) == b)
-        new = _Array(suffixes(rows, key, text, span, prefix), buckets)
+        new = _Array.of(every.where(F.col("b") == b).select("f", "d", "p"), buckets)
         own = new.table.groupBy("f").agg(F.min(F.xxhash64("d")).alias("lo"), F.max(F.xxhash64("d")).alias("hi")).where("lo <> hi").select("f")
         for level in levels.values():
             own = own.union(level.table.join(new.table.select("f"), "f", "left_semi").select("f"))
@@ -140,11 +149,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         at = 0
         while at in levels:
             old = levels.pop(at)
-            merged = _Array(new.table.union(old.table), buckets)
+            merged = new.merged(old, buckets)
             new.drop()
             old.drop()
             new, at = merged, at + 1
         levels[at] = new
+    C.discard(every)
     found = hits[0]
     for more in hits[1:]:
         found = found.union(more)
@@ -156,12 +166,15 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     spots = C.save(spots.groupBy(F.col("d").alias("e")).agg(F.collect_set("p").alias("ps")))
     for level in levels.values():
         level.drop()
-    same = Window.partitionBy("f")
-    windows = _windows(docs, spots, key, text, length, span)
-    counted = windows.select("d", "p", F.min("d").over(same).alias("lo"), F.max("d").over(same).alias("hi"), F.count("d").over(same).alias("named"), F.count("*").over(same).alias("n"))
-    exact = counted.where("lo <> hi or named > 0 and named < n").select("d", "p")
     C.discard(*hits)
+    windows = _Array.of(_windows(docs, spots, key, text, length, span), buckets)
+    C.discard(spots)
+    counted = windows.table.groupBy("f").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("d").alias("named"), F.count("*").alias("n"))
+    exact = C.save(windows.table.join(counted.where("lo <> hi or named > 0 and named < n").select("f"), "f", "left_semi").select("d", "p"))
+    windows.drop()
     w = Window.partitionBy("d").orderBy("p")
     rows = exact.withColumn("new", F.coalesce((F.col("p") > F.lag("p").over(w) + length).cast("int"), F.lit(1)))
     rows = rows.withColumn("i", F.sum("new").over(w))
-    return rows.groupBy("d", "i").agg(F.min("p").alias("start_word"), (F.max("p") + length).alias("end_word")).select(F.col("d").alias(key), "start_word", "end_word")
+    out = C.save(rows.groupBy("d", "i").agg(F.min("p").alias("start_word"), (F.max("p") + length).alias("end_word")).select(F.col("d").alias(key), "start_word", "end_word"))
+    C.discard(exact)
+    return out
