@@ -12,8 +12,11 @@ longest common subsequence of template and whole text decides, over the text's w
 words aren't a notice, each break in their patience alignment, of k such words, counts as log2(k + 1) words less in what must reach ``COVER``.
 Its place is the shortest that ends where the subsequence is first complete.
 
+Of templates that cover one place (a whole licence, its beginning, one with a clause less), that which matches most words there stands, and of
+equals the one that is better covered; a row within the place of another is dropped.
+
 Nulls and edge cases: null and empty texts hold no notice; a notice that occurs several times gives its best
-place, the first of equals; each template gives its own row; a text shorter than a template can still cover
+place, the first of equals; a text shorter than a template can still cover
 part of it. Texts are scanned whole.
 """
 
@@ -32,18 +35,38 @@ from . import common as C
 
 COVER = 0.8
 
-#: Short notices and the beginnings of longer ones, by SPDX identifier and kind.
+_SOFTWARE_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_MIT_REST = "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_APACHE = "Licensed under the Apache License, Version 2.0"
+_APACHE_HEADER = f"{_APACHE} (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_GPL_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+
+#: Whole licences where they are short, headers and notices, by SPDX identifier and kind.
 TEMPLATES = {
     "MIT/notice": "Released under the MIT License",
-    "MIT/grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
-    "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0/header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "MIT/grant": _MIT_GRANT,
+    "MIT/conditions": _MIT_REST,
+    "MIT/full": f"{_MIT_GRANT}, {_MIT_REST}",
+    "Apache-2.0/notice": _APACHE,
+    "Apache-2.0/header": _APACHE_HEADER,
+    "Apache-2.0/full-header": f"{_APACHE_HEADER} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "BSD-3-Clause/grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "GPL-3.0/header": _GPL_HEADER,
+    "GPL-3.0/full-header": f"{_GPL_HEADER}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "BSD/grant": _BSD_GRANT,
+    "BSD/disclaimer": _BSD_REST,
+    "BSD-2-Clause/full": f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_REST}",
+    "BSD-3-Clause/full": f"{_BSD_GRANT}: {_BSD_TWO} {_BSD_THIRD} {_BSD_REST}",
     "ISC/grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC/full": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_SOFTWARE_AS_IS}",
     "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "reserved/notice": "All rights reserved",
 }
 
 
@@ -134,7 +157,7 @@ class Scanner:
         for i in at:
             for k, offset in self.probes[int(t.hash[i])]:
                 places[int(t.row[i]), k].add(int(t.place[i]) - offset)
-        out = []
+        found: dict[int, list] = defaultdict(list)
         for (row, k), starts in places.items():
             words, n, best = self.words[k], len(self.words[k]), None
             text, slack = t.hash[t.first[row] : t.first[row + 1]], max(3, n // 4)
@@ -157,7 +180,14 @@ class Scanner:
                 if got and len(got) - breaks >= self.cover * n:
                     best = most / n, int(held[a]), int(held[b]) + 1
             if best:
-                out.append((row, k, *best))
+                found[row].append((-round(best[0] * n), -best[0], k, *best))
+        out = []
+        for row, rows in found.items():
+            kept: list = []
+            for _, _, k, share, a, b in sorted(rows):
+                if not any(x <= a and b <= y for *_, x, y in kept):
+                    kept.append((row, k, share, a, b))
+            out += kept
         return out
 
 

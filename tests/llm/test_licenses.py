@@ -44,8 +44,11 @@ def test_notices_match_brute_force(spark, text):
                 if any(lcs(a[p : p + len(b) + 2], b) >= licenses.COVER * len(b) for p in range(len(a))):
                     want.add((i, name))
     got = {(r.doc_id, r.license): r for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == want and len(want) > 25
+    assert set(got) <= want and len(want) > 25
+    assert {i for i, _ in got} == {i for i, _ in want}  # what is missing lies within another
     assert all(r.start_word >= 38 for r in got.values())
+    whole = {(i, names[i % len(names)]) for i in range(80) if i % 2 and i % 3 == 0}
+    assert whole <= set(got) and all(got[k].coverage == 1 for k in whole)
 
 
 def test_odd_rows(spark, odd, none):
@@ -83,5 +86,14 @@ def test_notices_with_insertions_match_whole_texts(spark, text):
             if lcs(w, notice) >= licenses.COVER * len(notice):
                 want.add((rows[-1][0], name))
     got = {(r.doc_id, r.license) for r in licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert want <= got and len(want) >= 40
+    assert {i for i, _ in want} <= {i for i, _ in got} and len(want) >= 60
+    assert all((n * 5, name) in got for n, name in enumerate(words) if len(words[name]) > 40)  # broken in the middle
     assert all(lcs(rows[i][1].split(), words[k]) >= licenses.COVER * len(words[k]) for i, k in got)
+
+
+def test_licences_that_hold_each_other(spark):
+    """The whole text wins over its beginning, the licence with the clause over the one without, and parts without their beginning are found."""
+    t = licenses.TEMPLATES
+    rows = ["a b " + t["MIT/full"], t["BSD-2-Clause/full"], "x " + t["BSD-3-Clause/full"] + " y", t["MIT/conditions"], t["ISC/full"], t["BSD/grant"], t["MIT/notice"] + " w " * 50 + t["Apache-2.0/full-header"], "(c) 2020 Someone. All rights reserved."]
+    got = sorted((r.doc_id, r.license) for r in licenses.license_notices(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect())
+    assert got == [(0, "MIT/full"), (1, "BSD-2-Clause/full"), (2, "BSD-3-Clause/full"), (3, "MIT/conditions"), (4, "ISC/full"), (5, "BSD/grant"), (6, "Apache-2.0/full-header"), (6, "MIT/notice"), (7, "reserved/notice")]
