@@ -82,8 +82,9 @@ def formatted(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     def run(batches):
         for batch in batches:
-            got = [round_trip([(x["r"], x["x"]) for x in c]) for c in batch.column("c").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(c) for c in batch.column("c").to_pylist()], pa.int32()), pa.array([n for _, n in got], pa.int32()), pa.array([r for r, _ in got], pa.string())], [key, "turns", "escaped_turns", "rendered"])
+            lists = batch.column("c")
+            got = [round_trip([(x["r"], x["x"]) for x in c]) for c in lists.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), lists.value_lengths().cast(pa.int32()), pa.array([n for _, n in got], pa.int32()), pa.array([r for r, _ in got], pa.string())], [key, "turns", "escaped_turns", "rendered"])
 
     kind = turns.schema[key].dataType.simpleString()
     every = turns.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("n"), F.col(role).alias("r"), F.col(text).alias("x")))).alias("c"))

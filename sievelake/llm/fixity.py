@@ -7,8 +7,8 @@ ranges and hashes in order; levels rise from records to segments, and one root c
 Trees of two replicas are compared at the root first, then only below nodes that differ.
 
 Nulls and edge cases: a record with a null id can't be placed and is left out; null URLs and payloads hash as
-such, apart from empty ones; repeated rows of an id form one leaf, of their sorted hashes, so repeats are
-noticed; a record that one replica lacks is located as missing or extra; empty replicas have no root and every
+such, apart from empty ones; repeated rows of an id form one leaf, of their number, their least and greatest hash and two sums over
+them (never a list, however many there are), so repeats are noticed; a record that one replica lacks is located as missing or extra; empty replicas have no root and every
 record of the other is reported. Ids are whole numbers of either sign.
 """
 
@@ -37,8 +37,10 @@ def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
     """(id, offset, length, hash) of each record in its segment."""
     rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), record(url, payload, key).alias("r"))
     rows = rows.select("id", F.octet_length("r").cast("long").alias("n"), F.sha2("r", 256).alias("h"))
-    one = rows.groupBy("id").agg(F.sum("n").alias("length"), F.sort_array(F.collect_list("h")).alias("hs"))
-    one = one.select("id", "length", F.when(F.size("hs") == 1, F.col("hs")[0]).otherwise(F.sha2(F.concat_ws(",", "hs"), 256)).alias("hash"), F.floor(F.col("id") / SEGMENT).alias("segment"))
+    total = lambda salt: F.sum(F.xxhash64("h", F.lit(salt)).cast("decimal(20,0)"))
+    one = rows.groupBy("id").agg(F.sum("n").alias("length"), F.count("*").alias("rows"), F.min("h").alias("lo"), F.max("h").alias("hi"), total(1).alias("s"), total(2).alias("u"))
+    many = F.sha2(F.concat_ws(",", *(F.col(c).cast("string") for c in ("rows", "lo", "hi", "s", "u"))), 256)
+    one = one.select("id", "length", F.when(F.col("rows") == 1, F.col("lo")).otherwise(many).alias("hash"), F.floor(F.col("id") / SEGMENT).alias("segment"))
     w = Window.partitionBy("segment").orderBy("id")
     return one.select("id", (F.sum("length").over(w) - F.col("length")).alias("offset"), "length", "hash")
 
@@ -61,6 +63,10 @@ class Tree:
     def grow(self) -> None:
         self.levels.append(C.save(_parent(self.levels[-1], FANOUT)))
 
+    def discard(self) -> None:
+        """Delete the levels' tables."""
+        C.discard(*self.levels)
+
     @property
     def root(self) -> str | None:
         """Hash over the top level, of two nodes at most."""
@@ -69,7 +75,7 @@ class Tree:
 
 
 def audit(original: Tree, replica: Tree) -> DataFrame:
-    """(page_id, status, offset, length, hash, replica_hash) of the records that differ; status is changed, missing or extra."""
+    """(page_id, status, offset, length, hash, replica_hash), saved, of the records that differ; status is changed, missing or extra."""
     while len(original.levels) != len(replica.levels):
         min(original, replica, key=lambda t: len(t.levels)).grow()
     same, differ = original.root == replica.root, None
@@ -84,6 +90,11 @@ def audit(original: Tree, replica: Tree) -> DataFrame:
             b = b.join(up, F.floor(F.col("id") / FANOUT) == F.col("up"), "left_semi")
         wrong = a.join(b, "id", "full").where(~F.col("hash").eqNullSafe(F.col("hash_b")) | ~F.col("length").eqNullSafe(F.col("length_b")))
         if level:
-            differ = C.save(wrong.select(F.col("id").alias("up")))
+            before, differ = differ, C.save(wrong.select(F.col("id").alias("up")))
+            if before is not None:
+                C.discard(before)
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return wrong.select(F.col("id").alias("page_id"), status.alias("status"), F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("length", "length_b").alias("length"), "hash", F.col("hash_b").alias("replica_hash"))
+    out = C.save(wrong.select(F.col("id").alias("page_id"), status.alias("status"), F.coalesce("offset", "offset_b").alias("offset"), F.coalesce("length", "length_b").alias("length"), "hash", F.col("hash_b").alias("replica_hash")))
+    if differ is not None:
+        C.discard(differ)
+    return out

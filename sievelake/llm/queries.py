@@ -48,7 +48,11 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op7_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return fixity.audit(fixity.Tree(pages), fixity.Tree(damaged(pages)))
+    original, replica = fixity.Tree(pages), fixity.Tree(damaged(pages))
+    out = fixity.audit(original, replica)
+    original.discard()
+    replica.discard()
+    return out
 
 
 def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
