@@ -139,6 +139,27 @@ def fingerprint_line_shift(spark, sf_dir):
     return one.join(two, ["fingerprint", "path"], "full")
 
 
+def finding_messages(spark, sf_dir):
+    return _audit(spark, sf_dir).findings().select("path", "line", "code", "subject", "kind", "message", "detail", "function", "parameter", "detector", "key")
+
+
+_MESSAGES = """, v AS (
+  SELECT p.*, b.k, b.body, CASE body WHEN 0 THEN 'p4ss' || k ELSE 'zzz' || k END AS secret FROM p JOIN b USING (path)
+) SELECT path, line, code, subject, CASE code WHEN 'KV001' THEN 'missing_parameter' WHEN 'KV002' THEN 'hardcoded_secret' ELSE 'hardcoded_infrastructure' END AS kind,
+  CASE WHEN code = 'KV001' THEN '`' || symbol || '` lacks the contract''s parameter `' || subject || '`' WHEN code = 'KV002' THEN '`' || symbol || '` is given a hardcoded literal'
+    WHEN subject = 'key_pattern' THEN '`bucket` is pinned to `prod-data-' || k || '`' ELSE 'an identifier of one environment (object_store_uri)' END AS message,
+  CASE WHEN subject = 'target_environment' THEN 'declare `target_environment: str = "dev"`' WHEN subject = 'dry_run' THEN 'declare `dry_run: bool = False`'
+    WHEN code = 'KV002' THEN 'value ' || CASE WHEN length(secret) <= 4 THEN '<redacted:' || length(secret) || ' chars>' ELSE '"' || substr(secret, 1, 2) || '…" (<redacted>, ' || length(secret) || ' chars)' END || '; take it from the environment or a secret store'
+    WHEN subject = 'key_pattern' THEN 'derive it from target_environment' ELSE '`s3://lake-' || k || '/x` should vary by environment' END AS detail,
+  CASE WHEN code = 'KV001' THEN symbol END AS function, CASE WHEN code = 'KV001' THEN subject END AS parameter, CASE WHEN code <> 'KV001' THEN subject END AS detector, CASE WHEN code <> 'KV001' AND symbol <> '' THEN symbol END AS key FROM v"""
+
+
+def module_roots(spark, sf_dir):
+    name = F.col("p_brand")
+    c = F.when(F.col("p_partkey") % 3 == 0, F.concat(name, F.lit(".x.y"))).when(F.col("p_partkey") % 3 == 1, name).otherwise(F.concat(F.lit("."), name))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.root_module(c).alias("root"))
+
+
 def distinct_issues(spark, sf_dir):
     return _audit(spark, sf_dir).distinct_issues()
 
@@ -281,6 +302,8 @@ ALL = {
     "run_verdict_drift": (_verdict(False, True), _verdict_sql(False, True)),
     "fingerprint_line_shift": (fingerprint_line_shift, f"{_PARTS} SELECT fingerprint, path, line, line + 10 AS shifted FROM p"),
     "distinct_issues": (distinct_issues, f"{_PARTS} SELECT fingerprint, path, code, symbol, subject, count(*) AS occurrences, min(line) AS first_line FROM p GROUP BY ALL"),
+    "finding_messages": (finding_messages, f"{_PARTS}{_MESSAGES}"),
+    "module_roots": (module_roots, "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS root FROM part"),
     "fix_insert_params": (fix_insert_params, f"{_PARTS} SELECT path, 'def ' || fn || '(' || {_SIGNATURE} || '):' AS signature FROM b WHERE {_LACKS} AND body NOT IN (0, 6)"),
     "fix_externalize_secrets": (fix_externalize_secrets, f"""{_PARTS}, s AS (SELECT *, CASE body WHEN 0 THEN 'api_password' ELSE 'db_secret_bucket' END AS key FROM b WHERE NOT broken AND body IN (0, 6)) SELECT path, key, upper(key) AS env, '    ' || key || ' = os.environ["' || upper(key) || '"]' AS line FROM s"""),
     "fix_add_import": (fix_add_import, f"{_PARTS} SELECT path, 'import os' AS first, 1 AS imports FROM b WHERE NOT broken AND body IN (0, 6)"),
