@@ -22,21 +22,42 @@ def excluded(path: str, patterns) -> bool:
     return any(matches_path(path, p) for p in patterns)
 
 
+def _walk(folder: str, rel: str, contract: Contract, depth: int = -1):
+    """(path, is a folder) of the files below a folder that the contract includes, to a depth, at which folders are given instead of entered."""
+    for entry in os.scandir(folder):
+        at = f"{rel}{entry.name}"
+        if entry.is_dir(follow_symlinks=False):
+            if not excluded(f"{at}/x", contract.scan.exclude) and not excluded(at, contract.scan.exclude):
+                if depth == 0:
+                    yield entry.path, True
+                else:
+                    yield from _walk(entry.path, f"{at}/", contract, depth - 1)
+        elif entry.is_file(follow_symlinks=False) and not excluded(at, contract.scan.exclude) and any(matches_path(at, p) for p in contract.scan.include):
+            yield entry.path, False
+
+
 def collect_files(root: str, contract: Contract) -> list[str]:
     """Files under a folder that the contract includes, by path components; excluded folders aren't entered."""
-    out = []
+    return sorted((p for p, _ in _walk(root, "", contract)), key=lambda p: p.split(os.sep))
+
+
+def scan_folder(spark: SparkSession, root: str, contract: Contract, base: str | None = None, depth: int = 1, partitions: int | None = None) -> DataFrame:
+    """The same files as sources, listed and read on the executors: the driver lists the upper levels only, so a huge tree isn't a list of its."""
+    partitions = partitions or spark.sparkContext.defaultParallelism
+    seeds = spark.createDataFrame([(p, d) for p, d in _walk(root, "", contract, depth)], "path string, folder boolean").repartition(partitions)
+    base = root if base is None else base
 
-    def walk(folder: str, rel: str) -> None:
-        for entry in os.scandir(folder):
-            at = f"{rel}{entry.name}"
-            if entry.is_dir(follow_symlinks=False):
-                if not excluded(f"{at}/x", contract.scan.exclude) and not excluded(at, contract.scan.exclude):
-                    walk(entry.path, f"{at}/")
-            elif entry.is_file(follow_symlinks=False) and not excluded(at, contract.scan.exclude) and any(matches_path(at, p) for p in contract.scan.include):
-                out.append(entry.path)
+    def listed(batches):
+        for batch in batches:
+            for path, folder in zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist()):
+                rel = os.path.relpath(path, root).replace(os.sep, "/") + "/"
+                some = [p for p, _ in _walk(path, rel, contract)] if folder else [path]
+                for at in range(0, len(some), 1024):
+                    part = some[at : at + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([normalise(p, base) for p in part], pa.string())], ["file", "path"])
 
-    walk(root, "")
-    return sorted(out, key=lambda p: p.split(os.sep))
+    found = seeds.mapInArrow(listed, "file string, path string").repartition(partitions)
+    return found.withColumn("kind", kind_of(F.col("path"))).mapInArrow(_read, SOURCES)
 
 
 def resolve_targets(paths: list[str], contract: Contract) -> list[str]:
@@ -111,4 +132,4 @@ def include(sources: DataFrame, contract: Contract) -> DataFrame:
     return sources.where(some(contract.scan.include) & ~some(contract.scan.exclude))
 
 
-__all__ = ["FILE_NAME", "collect_files", "excluded", "from_table", "include", "kind_of", "normalise", "read_files", "resolve_targets", "scan_root"]
+__all__ = ["FILE_NAME", "collect_files", "excluded", "from_table", "include", "kind_of", "normalise", "read_files", "resolve_targets", "scan_folder", "scan_root"]

@@ -180,3 +180,15 @@ def test_plan_is_narrow(audit, spark):
     plan = audit({"a.py": "x = 1"}).findings()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and plan.count("MapInArrow") == 1
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_folders_listed_on_executors(spark, tmp_path):
+    for at in ("a.py", "x/b.py", "x/y/c.yml", "x/y/z/d.py", "x/y/z/e.txt", ".venv/lib/f.py", "x/build/g.py", "x/y/build/h.py"):
+        path = tmp_path / at
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"# {at}\n")
+    contract = Contract()
+    want = sorted((files.normalise(p, str(tmp_path)), open(p).read()) for p in files.collect_files(str(tmp_path), contract))
+    assert [p for p, _ in want] == ["a.py", "x/b.py", "x/y/c.yml", "x/y/z/d.py"]
+    for depth in (0, 1, 5):
+        assert sorted((r.path, r.content) for r in files.scan_folder(spark, str(tmp_path), contract, depth=depth).collect()) == want
