@@ -6,8 +6,8 @@
    that tell nothing, the ``NEUTRAL`` that cover the clean rows most evenly (every language, say) are neutral seeds.
 2. Over the whole corpus, in runs of ``WINDOW`` words, each term of words without a seed is counted, and in how many runs a
    toxic seed stands too. Of a toxic term's runs, as many hold one as of the seeds' own (another one, there); of any other's, as many as of
-   all runs. The share's lower bound (Wilson, ``SEED_Z``) is placed between these two; terms at ``LEAST_BESIDE`` of the way or
-   more (not all, since toxic texts may hold none of the seeds) are candidates too, labelled or not, however many.
+   all runs. Terms whose share is ``BESIDE`` of the way from these to those or more, and surely (Wilson, ``SEED_Z``) ``LEAST_BESIDE`` of it (not
+   all, since toxic texts may hold none of the seeds), are candidates too, labelled or not, however many.
 3. Co-occurrences of all seeds and candidates are counted once in each run over the whole corpus, and give the graph's edges: positive
    pointwise mutual information, shifted by ln ``SHIFT`` as what most terms of one language have in common. Terms are looked up in a
    table of 2^24 hash bits, of one size for any number of terms; what it lets through by chance a join drops.
@@ -41,7 +41,7 @@ from . import common as C
 
 SAMPLE, NEUTRAL, COMMON, WINDOW = 20_000, 64, 2_000, 128
 SEED_Z, CANDIDATE_Z, LEAST_DOCS, RESTART, STEPS = 3.5, 2.0, 3, 0.3, 12
-CONFIDENCE, LEAST_SHARE, LEAST_BESIDE, SHIFT, PRIOR, BLOCK_TERMS = 2.0, 0.5, 0.5, 2.0, 4.0, 1_000_000
+CONFIDENCE, LEAST_SHARE, LEAST_BESIDE, BESIDE, SHIFT, PRIOR, BLOCK_TERMS = 2.0, 0.5, 0.25, 0.4, 2.0, 4.0, 1_000_000
 PREFIXES = (4, 6, 7)
 _SLICE = 1 << 20
 
@@ -231,7 +231,8 @@ def _induced(docs: DataFrame, text: str, seeds: np.ndarray, window: int, least:
     every, toxic = sums.get(0, 0.0), sums.get(1, 0.0)
     n, p, zz = F.col("n"), F.col("k") / F.col("n"), SEED_Z**2
     low = (p + zz / (2 * n) - SEED_Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
-    beside = (low - every) / max(toxic - every, 1e-12) >= LEAST_BESIDE
+    way = lambda x: (x - every) / max(toxic - every, 1e-12)
+    beside = (way(low) >= LEAST_BESIDE) & (way(p) >= BESIDE)
     return rows.where("term not in (0, 1)").where(beside if toxic > every else F.lit(False)).select("term"), rows
 
 
