@@ -7,7 +7,8 @@
 2. Over the whole corpus, in runs of ``WINDOW`` words, each term of words without a seed is counted, and in how many runs a
    toxic seed stands too. Of a toxic term's runs, as many hold one as of the seeds' own (another one, there); of any other's, as many as of
    all runs. Terms whose share is ``BESIDE`` of the way from these to those or more, and surely (Wilson, ``SEED_Z``) ``LEAST_BESIDE`` of it (not
-   all, since toxic texts may hold none of the seeds), are candidates too, labelled or not, however many.
+   all, since toxic texts may hold none of the seeds), are candidates too, labelled or not, however many. A term that stands beside a seed
+   in fewer than 4 runs (as many rows as a labelled term needs) proves nothing and isn't one.
 3. Co-occurrences of all seeds and candidates are counted once in each run over the whole corpus, and give the graph's edges: positive
    pointwise mutual information, shifted by ln ``SHIFT`` as what most terms of one language have in common. Terms are looked up in a
    table of 2^24 hash bits, of one size for any number of terms; what it lets through by chance a join drops.
