@@ -108,6 +108,31 @@ def may_cross_lines(regex: str) -> bool:
     return any(has(n, tree.state.flags) for n in tree)
 
 
+def needed(regex: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds; empty if none is certain."""
+    import re._constants as k
+    import re._parser as parser
+
+    runs = [""]
+
+    def walk(nodes) -> None:
+        for op, av in nodes:
+            if op is k.LITERAL and 32 <= av < 127:
+                runs[-1] += chr(av)
+            elif op is k.SUBPATTERN and not av[1] and not av[2]:
+                walk(av[3])
+            elif op is not k.AT:
+                runs.append("")
+
+    try:
+        tree = parser.parse(portable(regex))
+    except re.error:
+        return ""
+    if not tree.state.flags & (re.IGNORECASE | re.VERBOSE):
+        walk(tree)
+    return max(runs, key=len)
+
+
 def _patterns(section, of_profile) -> list[tuple[str | None, str, str]]:
     """(framework, name, pattern) in order: the contract's, then each profile's."""
     return [(None, p.name, p.regex) for p in section.value_patterns] + [(p.name, n, r) for p in PROFILES for n, r in of_profile(p)]
@@ -135,8 +160,13 @@ def value_hits(content: Column, active: Column, patterns, marker: str) -> Column
         first = F.coalesce(*cases)
         return F.when(~line.contains(marker), first) if marker else first
 
-    # most texts hold nothing at all: one test spares splitting those
-    some = content.rlike(java("|".join(f"(?:{r})" for _, _, r in patterns)))
+    # most texts hold nothing at all: testing them whole spares splitting those, and looking for what a match must hold spares most patterns
+    some = F.lit(False)
+    for framework, _, regex in patterns:
+        hit = content.rlike(java(regex))
+        if part := needed(regex):
+            hit = content.contains(part) & hit
+        some |= hit if framework is None else F.array_contains(active, framework) & hit
     found = F.filter(F.transform(lines, on_line), lambda h: h.isNotNull())
     return F.when(some, found).otherwise(F.array().cast(f"array<{HIT}>"))
 

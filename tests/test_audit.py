@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelake import cli
 from sievelake.contract import Contract, Frameworks, Infrastructure, Parameter, Secrets, ValuePattern
+from sievelake.operators import rules
 from sievelake.plans.audit import Audit, identity, timestamp, to_text
 from sievelake.sources import files
 
@@ -192,3 +193,11 @@ def test_folders_listed_on_executors(spark, tmp_path):
     assert [p for p, _ in want] == ["a.py", "x/b.py", "x/y/c.yml", "x/y/z/d.py"]
     for depth in (0, 1, 5):
         assert sorted((r.path, r.content) for r in files.scan_folder(spark, str(tmp_path), contract, depth=depth).collect()) == want
+
+
+def test_what_every_match_holds(spark):
+    needed = {r: rules.needed(r) for r in ("token = ", r'token = "[0-9a-f]{40}"', "[0-9]{16}", r"[a-z.]+@[a-z]+\.de", r"\bdapi[a-f]{3}\b", "(?i)abc", "(?i:abc)d", "(?x)a b", "abc?d", "ab|cd", "(ab)(cd)*e", "(?=abc)d", "ab{0}c", r"\Qa\E", r"a\vb")}
+    assert list(needed.values()) == ["token = ", 'token = "', "", ".de", "dapi", "", "d", "", "ab", "", "ab", "d", "a", "", "a"]
+    contract = Contract(parameters=(), secrets=replace(Secrets(), value_patterns=tuple(ValuePattern(f"p{n}", r) for n, r in enumerate(needed) if r not in (r"\Qa\E", r"a\vb"))))
+    sql = rules.value_hits(F.col("content"), F.col("active"), rules._patterns(contract.secrets, lambda p: p.secret_values), "x")._jc.toString()
+    assert sql.count("contains") > 5

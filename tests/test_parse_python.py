@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievelake.operators.parse_python import analyze
+from sievelake.operators.parse_python import analyze, hopeless
 
 
 def bound(source):
@@ -98,3 +98,44 @@ def test_statements_of_broken_sources():
     assert one('x = """\nabc def\n"""\nprint "é"\ntoken = "é"\nif x:\n    y = 1\nelse:\n    print "z"\n    key = "qq"\n') == (True, [], [("x", 1), ("token", 5), ("key", 10)])
     assert one('call(\n"a",\n)\nexec "x"\ntoken = (\n"abcd")\n') == (True, [], [])
     assert one('def broken(:\n    token = "abcd"\n') == (True, [], []) and one('token = "abcd') == (True, [], [])
+
+
+PROSE = "The cat sat. In the end, it\nwas “so” — of course!\nTitle.\nIt was $5 for\n    the two of them.\n\n"
+TABLE = "anhely | eran. | reen\nof_it | sto.\n"
+
+
+@pytest.mark.parametrize("text", [PROSE * 40, TABLE * 80, (PROSE + TABLE) * 40])
+def test_prose_is_told_from_code_without_trying_every_join(text, monkeypatch):
+    tried = []
+    real = ast.parse
+    with monkeypatch.context() as m:
+        m.setattr(ast, "parse", lambda s: tried.append(len(s)) or real(s))
+        found = analyze(text + 'token = "abcd"\n' + text)
+    assert found["has_error"] and [(b["key"], b["line"]) for b in found["bindings"]] == [("token", text.count("\n") + 1)]
+    assert len(tried) <= 2 * 2 * text.count("\n") + 9 and sum(tried) < 6 * 2 * len(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["foo", "bar in", "match", "type", "_", "is not", "x·", "3rd", " ", "\n", "\n    ", "(", ")", ":", ".", "|", ",", "!", "!=", "$", "—", "?", "'", '"', '"""', "#", "\\\n", "f'", "é", "= 1\n", 'k = "v"\n', "if x:\n    y = 2\n", "def f(a):\n", "lambda", "\ufeff"]), max_size=14))
+def test_what_is_told_from_a_part_holds_for_the_whole(parts):
+    text = "".join(parts)
+    if hopeless(text):
+        with pytest.raises((SyntaxError, ValueError)):
+            ast.parse(text.removeprefix("\ufeff"))
+    lines, want = text.split("\n"), []
+    for n in range(1, len(lines)):
+        try:
+            ast.parse("\n".join(lines[:n]) + "\n")
+            want.append(n)
+        except (SyntaxError, ValueError):
+            pass
+        if hopeless("\n".join(lines[:n]) + "\n"):
+            assert not [w for w in want if w >= n]
+            with pytest.raises((SyntaxError, ValueError)):
+                ast.parse(text)
+
+
+def test_characters_that_begin_no_token():
+    for at in range(161, 0x10000):
+        assert not (hopeless(f"a = b{chr(at)}c\n") and f"a{chr(at)}".isidentifier())
+    assert [hopeless(s) for s in ("match x y", "foo in bar", "x != y", "'it' is so", "foo # bar baz", "foo bar # '", "a b", "type X")] == [True, False, False, None, None, True, True, False]
